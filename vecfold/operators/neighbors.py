@@ -161,7 +161,9 @@ def build_index(points: DataFrame, extras: list[str], block_rows: int = BLOCK_RO
         order = np.argsort(table["cell"].to_numpy())
         piv = table["pivots"][0]
         arrays = {c: table[c].to_numpy()[order] for c in ("cell", "radius", "_n")}
-        arrays["pivots"] = load(piv.as_py())["x"][arrays["cell"]] if piv.is_valid else None
+        drawn = load(piv.as_py()) if piv.is_valid else None
+        arrays["pivots"] = drawn["x"][arrays["cell"]] if drawn else None
+        arrays["pivot_id"] = drawn["id"][arrays["cell"]] if drawn else np.empty(0, "i8")
         return pa.table(
             {"g": table["g"].slice(0, 1).combine_chunks(), "meta": pa.array([dump(**arrays)], pa.binary())}
         )
@@ -194,10 +196,19 @@ def to_cells(x: np.ndarray, meta: dict) -> tuple[np.ndarray, np.ndarray]:
     return d, np.maximum(lower - margin(x, pivots) * 4, 0.0)
 
 
+def part_of(batch: pa.RecordBatch, i: int) -> dict:
+    """Arrays of a block row: its payload and, when there is one, its state of this round."""
+    part = load(batch["payload"][i].as_py())
+    if "state" in batch.schema.names:
+        part.update(load(batch["state"][i].as_py()))
+    return part
+
+
 def needed_cells(blocks: DataFrame, meta: DataFrame, bound: Callable) -> DataFrame:
     """``(g, block, cell, lower)``: the cells that can hold a partner for some row of a block.
 
-    ``bound(part, d, meta)`` gives each row's radius beyond which no partner is needed.
+    ``bound(part, d, meta)`` gives each row's radius beyond which no partner is needed;
+    a negative radius asks for nothing.
     """
     schema = T.StructType(
         [
@@ -211,7 +222,7 @@ def needed_cells(blocks: DataFrame, meta: DataFrame, bound: Callable) -> DataFra
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                part, info = load(batch["payload"][i].as_py()), load(batch["meta"][i].as_py())
+                part, info = part_of(batch, i), load(batch["meta"][i].as_py())
                 d, lower = to_cells(part["x"], info)
                 reach = bound(part, d, info)
                 hit = lower <= (reach * (1 + SLACK))[:, None]
@@ -226,7 +237,8 @@ def needed_cells(blocks: DataFrame, meta: DataFrame, bound: Callable) -> DataFra
                     }
                 )
 
-    return blocks.select("g", "block", "payload").join(meta, "g").mapInArrow(run, schema)
+    shown = [c for c in ("g", "block", "payload", "state") if c in blocks.columns]
+    return blocks.select(*shown).join(meta, "g").mapInArrow(run, schema)
 
 
 def stream(
@@ -238,10 +250,11 @@ def stream(
     has ``feed(part, lower)`` and ``finish() -> dict of arrays``.
     """
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    theirs = others.select("g", F.col("block").alias("other"), "payload")
-    partners = pairs.join(theirs, ["g", "other"]).select("g", "block", "other", "lower", "payload")
+    data = [c for c in ("payload", "state") if c in own.columns]
+    theirs = others.select("g", F.col("block").alias("other"), *data)
+    partners = pairs.join(theirs, ["g", "other"]).select("g", "block", "other", "lower", *data)
     rows = own.select(
-        "g", "block", F.lit(-1).cast("long").alias("other"), F.lit(-1.0).alias("lower"), "payload"
+        "g", "block", F.lit(-1).cast("long").alias("other"), F.lit(-1.0).alias("lower"), *data
     ).unionByName(partners)
     rows = rows.repartition(n, "g", "block").sortWithinPartitions("g", "block", "lower", "other")
     names = [f.name for f in schema.fields]
@@ -256,7 +269,7 @@ def stream(
         current, state, g = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                part = load(batch["payload"][i].as_py())
+                part = part_of(batch, i)
                 lower = batch["lower"][i].as_py()
                 if lower < 0:
                     if state is not None:

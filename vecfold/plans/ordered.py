@@ -48,19 +48,30 @@ def ordinal(df: DataFrame, order: list[str], within: list[str] = (), name: str =
     )
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """Adds the inclusive prefix sum of ``value`` over the total order ``order``."""
-    parts = ranges(df, order)
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        parts.groupBy("_range")
-        .agg(F.sum(value).alias("_s"))
-        .withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-        .drop("_s")
+_COMBINE = {
+    "sum": (F.sum, lambda before, here: F.coalesce(before, F.lit(0)) + here),
+    "max": (F.max, F.greatest),
+    "min": (F.min, F.least),
+}
+
+
+def prefix(parts: DataFrame, order: list[str], within: list[str], **aggs: tuple[str, str]) -> DataFrame:
+    """Inclusive running aggregates inside each ``within`` group of a table from ``ranges``.
+
+    ``aggs`` maps an output name to ``(kind, column)`` with kind sum, max or min. Values run
+    inside a range first; what came before it is one small row per (range, group).
+    """
+    keys = ["_range", *within]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_range")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*keys).agg(*[_COMBINE[k][0](c).alias(f"_t_{n}") for n, (k, c) in aggs.items()])
+    carried = totals.select(
+        *keys, *[_COMBINE[k][0](f"_t_{n}").over(before).alias(f"_b_{n}") for n, (k, _) in aggs.items()]
     )
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        parts.withColumn("_run", F.sum(value).over(inside))
-        .join(offsets, "_range")
-        .select(*df.columns, (F.col("_before") + F.col("_run")).alias(name))
+    out = parts.select("*", *[_COMBINE[k][0](c).over(inside).alias(f"_h_{n}") for n, (k, c) in aggs.items()])
+    out = out.join(carried, keys)
+    return out.select(
+        *parts.columns,
+        *[_COMBINE[k][1](F.col(f"_b_{n}"), F.col(f"_h_{n}")).alias(n) for n, (k, _) in aggs.items()],
     )
