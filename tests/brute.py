@@ -120,3 +120,49 @@ def hdbscan(x, min_samples, min_cluster_size):
     )
     renamed = {l: i for i, l in enumerate(order)}
     return np.array([renamed.get(l, -1) for l in labels]), scores
+
+
+def dbcv(x, labels):
+    """Copies of a row are joined to it by edges of weight zero."""
+    x, labels = np.asarray(x, float), np.asarray(labels)
+    names = np.unique(labels)
+    if len(names) < 2:
+        return -1.0
+    dim, n = x.shape[1], len(x)
+    inner, core, sparse = {}, np.zeros(n), {}
+    for c in names:
+        idx = np.flatnonzero(labels == c)
+        if len(idx) < 2:
+            continue
+        d = pairwise(x[idx])
+        for i in range(len(idx)):
+            others = np.delete(d[i], i)
+            core[idx[i]] = 0.0 if (others == 0).any() else ((others ** -dim).sum() / (len(idx) - 1)) ** (-1.0 / dim)
+        reps = {}
+        for i in idx:
+            reps.setdefault(tuple(x[i]), []).append(i)
+        first = sorted(v[0] for v in reps.values())
+        m = mutual(pairwise(x[first]), core[first])
+        edges, inside = [], [0]
+        while len(inside) < len(first):
+            out = [j for j in range(len(first)) if j not in inside]
+            w, a, b = min((m[a, b], a, b) for a in inside for b in out)
+            edges.append((w, first[a], first[b]))
+            inside.append(b)
+        degree = {i: int(len(reps[tuple(x[i])]) > 1) for i in first}
+        for _, a, b in edges:
+            degree[a] += 1
+            degree[b] += 1
+        mine = [i for i in first if degree[i] > 1] or first
+        inner[c] = mine
+        between = [w for w, a, b in edges if a in mine and b in mine] or [w for w, _, _ in edges] or [0.0]
+        sparse[c] = max(between)
+    total = 0.0
+    for c in inner:
+        apart = min(
+            max(np.sqrt(((x[a] - x[b]) ** 2).sum()), core[a], core[b])
+            for o in inner if o != c for a in inner[c] for b in inner[o]
+        )
+        top = max(apart, sparse[c])
+        total += (labels == c).sum() / n * ((apart - sparse[c]) / top if top > 0 else 0.0)
+    return total

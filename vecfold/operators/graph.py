@@ -26,20 +26,29 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def roots(links: DataFrame) -> DataFrame:
+def roots_counted(links: DataFrame) -> tuple[DataFrame, int]:
     """``(g, id, root)`` for a forest ``(g, id, parent)`` whose roots point to themselves.
 
-    Pointer jumping: the number of rounds is the logarithm of the depth.
+    Pointer jumping, three steps per job: the number of jobs is the logarithm of the depth. A
+    row is settled once its new parent is seen to point to itself. Also counts the non-roots.
     """
     now = cut(links.select("g", "id", "parent"))
     while True:
-        up = now.select("g", F.col("id").alias("parent"), F.col("parent").alias("_up"))
-        jumped = now.join(up, ["g", "parent"]).select("g", "id", "parent", "_up")
-        moved = F.sum((F.col("_up") != F.col("parent")).cast("long"))
-        now, seen = cut_counted(jumped, moved=moved)
-        now = now.select("g", "id", F.col("_up").alias("parent"))
+        one = now.select("g", F.col("id").alias("parent"), F.col("parent").alias("_one"))
+        two = now.select("g", F.col("id").alias("_one"), F.col("parent").alias("_two"))
+        jumped = now.join(one, ["g", "parent"]).join(two, ["g", "_one"])
+        now, seen = cut_counted(
+            jumped.select("g", "id", "_one", F.col("_two").alias("parent")),
+            moved=F.sum((F.col("_one") != F.col("parent")).cast("long")),
+            below=F.sum((F.col("id") != F.col("parent")).cast("long")),
+        )
+        now = now.select("g", "id", "parent")
         if not seen["moved"]:
-            return now.withColumnRenamed("parent", "root")
+            return now.withColumnRenamed("parent", "root"), seen["below"] or 0
+
+
+def roots(links: DataFrame) -> DataFrame:
+    return roots_counted(links)[0]
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -234,6 +243,33 @@ def _search(blocks: DataFrame, index: Index) -> DataFrame:
     return stream(blocks, pairs, blocks, _Foreign, schema)
 
 
+def placed_vertices(index: Index, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(g, id, core, floor)`` rows with their block, and those of them that are pivots."""
+    rows = rows.select("g", "id", "core", "floor")
+    vertices = cut(_vertex_blocks(index).join(rows, ["g", "id"]))
+    return vertices, cut(_pivot_rows(index).join(rows.select("g", "id", "core"), ["g", "id"]))
+
+
+def foreign_edges(
+    index: Index, vertices: DataFrame, pivots: DataFrame, named: DataFrame, known: DataFrame | None = None
+) -> DataFrame:
+    """``(g, id, best)``: the lightest edge of each component ``comp`` to any other.
+
+    ``named`` is ``(g, id, comp)``. ``known`` are lightest edges found elsewhere; rows whose
+    ``floor`` is above the component's best known weight are not searched again.
+    """
+    limits = _limits(index, vertices, pivots, named, known)
+    rows = vertices.join(named, ["g", "id"]).join(limits, ["g", "comp"], "left").withColumn(
+        "limit", F.coalesce("limit", F.lit(float("inf")))
+    )
+    state = _state(rows, ["core", "floor", "comp", "limit"])
+    blocks = cut(index.blocks.select("g", "cell", "block", "payload").join(state, ["g", "block"]))
+    found = _search(blocks, index).select("g", "id", F.struct("w", "a", "b", "other").alias("best"))
+    if known is not None:
+        found = found.unionByName(known)
+    return found.groupBy("g", "id").agg(F.min("best").alias("best"))
+
+
 def spanning_tree(index: Index, cores: DataFrame, lists: DataFrame | None = None, k: int = 0) -> DataFrame:
     """``(g, a, b, w)``: minimum spanning tree under mutual reachability.
 
@@ -264,22 +300,12 @@ def spanning_tree(index: Index, cores: DataFrame, lists: DataFrame | None = None
         comps = _comp_floors(comps, step)
 
     if done < wanted:
-        vertices = cut(_vertex_blocks(index).join(cores, ["g", "id"]).join(floors, ["g", "id"]))
-        pivots = cut(_pivot_rows(index).join(cores, ["g", "id"]))
+        vertices, pivots = placed_vertices(index, cores.join(floors, ["g", "id"]))
     while done < wanted:
         names = roots(with_links(cores, merged)) if merged else cores.select("g", "id", F.col("id").alias("root"))
         named = names.select("g", "id", F.col("root").alias("comp"))
-        known = _lightest(live).select("g", "id", F.col("best.w").alias("_w")) if live is not None else None
-        limits = _limits(index, vertices, pivots, named, known)
-        rows = vertices.join(named, ["g", "id"]).join(limits, ["g", "comp"], "left").withColumn(
-            "limit", F.coalesce("limit", F.lit(float("inf")))
-        )
-        state = _state(rows, ["core", "floor", "comp", "limit"])
-        blocks = cut(index.blocks.select("g", "cell", "block", "payload").join(state, ["g", "block"]))
-        found = _search(blocks, index).select("g", "id", F.struct("w", "a", "b", "other").alias("best"))
-        if live is not None:
-            found = found.unionByName(_lightest(live))
-        best = found.groupBy("g", "id").agg(F.min("best").alias("best"))
+        known = _lightest(live) if live is not None else None
+        best = foreign_edges(index, vertices, pivots, named, known)
         step, n = _merge(best, comps, tree, merged)
         if not n:
             raise RuntimeError("spanning tree search found no edge for an open component")
@@ -324,21 +350,18 @@ def _lightest(live: DataFrame) -> DataFrame:
 
 def _merge(best: DataFrame, comps: DataFrame, tree: list, merged: list):
     """Merge components along their chosen edges; returns the renaming and the edges added."""
-    best = cut(best)
-    edges, seen = cut_counted(
-        best.select("g", F.col("best.a").alias("a"), F.col("best.b").alias("b"), F.col("best.w").alias("w")).distinct()
-    )
+    best, seen = cut_counted(best)
     if not seen["n"]:
         return None, 0
-    tree.append(edges)
-    links = hook(best)
+    edges = best.select("g", F.col("best.a").alias("a"), F.col("best.b").alias("b"), F.col("best.w").alias("w"))
+    tree.append(edges.distinct())
     # components that are only pointed at are roots of their own
-    ends = comps.select("g", "id").join(links, ["g", "id"], "left").select(
+    ends = comps.select("g", "id").join(hook(best), ["g", "id"], "left").select(
         "g", "id", F.coalesce("parent", "id").alias("parent")
     )
-    step = roots(ends)
+    step, n = roots_counted(ends)
     merged.append(step.filter(F.col("id") != F.col("root")).select("g", "id", F.col("root").alias("parent")))
-    return step, seen["n"]
+    return step, n
 
 
 def _contract(live: DataFrame, step: DataFrame) -> DataFrame:
@@ -372,7 +395,8 @@ def _limits(index: Index, vertices: DataFrame, pivots: DataFrame, named: DataFra
     pstate = per_g.select("g", "id", "core", "comp").groupBy("g").applyInArrow(one, schema)
     limits = _pivot_limits(blocks, index.meta.join(pstate, "g", "left"))
     if known is not None:
-        limits = limits.unionByName(known.withColumnRenamed("_w", "limit")).groupBy("g", "id").agg(
+        listed = known.select("g", "id", F.col("best.w").alias("limit"))
+        limits = limits.unionByName(listed).groupBy("g", "id").agg(
             F.min("limit").alias("limit")
         )
     return cut(limits.withColumnRenamed("id", "comp"))
