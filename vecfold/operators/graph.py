@@ -279,8 +279,14 @@ def spanning_tree(index: Index, cores: DataFrame, lists: DataFrame | None = None
     within the radius of their best known edge.
     """
     cores = cut(cores.select("g", "id", "core"))
+    inside = _inside_blocks(index, cores)
+    alone = cut(index.blocks.groupBy("g").count().filter("count = 1").select("g"))
+    cores = cut(cores.join(alone, "g", "left_anti"))
     shape = cores.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("g").alias("k")).first()
     wanted = shape["n"] - shape["k"]
+    if not wanted:
+        return inside
+    lists = lists.join(alone, "g", "left_anti") if lists is not None else None
     if lists is None:
         floors = cores.select("g", "id", F.col("core").alias("floor"))
         live = None
@@ -312,11 +318,44 @@ def spanning_tree(index: Index, cores: DataFrame, lists: DataFrame | None = None
         done += n
         live = _contract(live, step) if live is not None else None
         comps = _comp_floors(comps, step)
-    if not tree:
-        return cores.filter(F.lit(False)).select(
-            "g", F.col("id").alias("a"), F.col("id").alias("b"), F.col("core").alias("w")
-        )
-    return cut(union_all(tree))
+    return cut(union_all([inside, *tree]))
+
+
+def _inside_blocks(index: Index, cores: DataFrame) -> DataFrame:
+    """Spanning trees of the groups that are a single block, grown inside the block."""
+    single = index.blocks.groupBy("g").agg(F.count(F.lit(1)).alias("_k"), F.max("payload").alias("payload"))
+    single = single.filter("_k = 1").select("g", F.lit(0).cast("long").alias("block"), "payload")
+    state = _state(cores.withColumn("block", F.lit(0).cast("long")).join(single.select("g"), "g", "left_semi"), ["core"])
+    schema = T.StructType(
+        [cores.schema["g"], T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("w", T.DoubleType())]
+    )
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = part_of(batch, i)
+                x, ids, core = part["x"], part["id"], part["core"]
+                n = len(ids)
+                best, source, free = np.full(n, np.inf), np.zeros(n, "i8"), np.ones(n, bool)
+                at, ends, weights = 0, [], []
+                for _ in range(n - 1):
+                    free[at] = False
+                    diff = x - x[at]
+                    w = np.maximum(np.sqrt((diff * diff).sum(1)), np.maximum(core, core[at]))
+                    closer = free & (w < best)
+                    best[closer], source[closer] = w[closer], at
+                    at = int(np.where(free, best, np.inf).argmin())
+                    ends.append((ids[source[at]], ids[at]))
+                    weights.append(best[at])
+                ends = np.sort(np.array(ends, "i8").reshape(-1, 2), axis=1)
+                yield pa.RecordBatch.from_pydict(
+                    {"g": pa.array([batch["g"][i].as_py()] * (n - 1), batch["g"].type), "a": pa.array(ends[:, 0]),
+                     "b": pa.array(ends[:, 1]), "w": pa.array(np.array(weights, float))}
+                )
+
+    n = int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = single.join(state, ["g", "block"]).repartition(n, "g")
+    return cut(packed.select("g", "payload", "state").mapInArrow(run, schema))
 
 
 def _listed_edges(lists: DataFrame, cores: DataFrame, k: int):

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecfold.plans.lineage import cut, sized_broadcast
+from vecfold.plans.lineage import BROADCAST_LIMIT, cut, cut_counted, sized_broadcast
 
-BLOCK_ROWS = 512
+BLOCK_ROWS = 2048
 MAX_PIVOTS = 512  # expected number per group
 SLACK = 1e-9  # relative safety margin on floating-point bounds
 
@@ -114,8 +114,11 @@ def chunked(points: DataFrame, sizes: DataFrame, keys: list[str], block_rows: in
 def build_index(points: DataFrame, extras: list[str], block_rows: int = BLOCK_ROWS) -> Index:
     """Pivot cells over ``(g, id, v, *extras)``."""
     limit_batches(points.sparkSession)
-    sizes = group_sizes(points)
+    sizes, seen = cut_counted(points.groupBy("g").agg(F.count(F.lit(1)).alias("_n")), most=F.max("_n"))
     g_field = _g_field(points)
+    if (seen["most"] or 0) <= block_rows:
+        return _one_block_each(points, sizes, extras)
+    sizes = F.broadcast(sizes) if seen["n"] * 32 <= BROADCAST_LIMIT else sizes
 
     wanted = F.least(F.ceil(F.col("_n") / F.lit(block_rows)), F.lit(MAX_PIVOTS))
     drawn = F.pmod(F.xxhash64("id", F.lit(17)), F.col("_n")) < wanted
@@ -180,6 +183,18 @@ def build_index(points: DataFrame, extras: list[str], block_rows: int = BLOCK_RO
     return Index(cut(blocks), cut(meta))
 
 
+def _one_block_each(points: DataFrame, sizes: DataFrame, extras: list[str]) -> Index:
+    """Groups that all fit into a block need no pivots: one cell that nothing rules out."""
+    open_cell = dump(
+        cell=np.zeros(1, "i4"), radius=np.full(1, np.inf), _n=np.zeros(1, "i8"), pivots=None,
+        pivot_id=np.empty(0, "i8"),
+    )
+    blocks = pack(points, ["g"], extras).select(
+        "g", F.lit(0).alias("cell"), F.lit(0).cast("long").alias("block"), "payload"
+    )
+    return Index(cut(blocks), sizes.select("g", F.lit(open_cell).alias("meta")))
+
+
 def to_cells(x: np.ndarray, meta: dict) -> tuple[np.ndarray, np.ndarray]:
     """Distances to the pivots and lower bounds on the distance to any point of each cell."""
     pivots = meta["pivots"]

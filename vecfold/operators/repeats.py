@@ -38,14 +38,16 @@ def repeats(
     """``(id, repeat, freq)`` for repeats of ``min_len`` to ``max_len`` code points.
 
     One aggregation with map-side combine: a repeat continues in two ways exactly when its
-    smallest and largest continuation differ (the end of the text is the empty continuation).
+    smallest and largest continuation differ (the end of the text counts as code -1).
     """
     ahead = windows(df, id, text, max_len + 1)
     lengths = F.sequence(F.lit(min_len), F.least(F.length("w"), F.lit(max_len)))
+    after = F.substring(F.col("w"), F.col("len") + 1, F.lit(1))
     pieces = ahead.filter(F.length("w") >= min_len).select(id, "w", F.explode(lengths).alias("len")).select(
         id,
         F.substring(F.col("w"), F.lit(1), F.col("len")).alias("repeat"),
-        F.substring(F.col("w"), F.col("len") + 1, F.lit(1)).alias("_next"),
+        # as a number: strings have no hash aggregate for min and max
+        F.when(after == "", F.lit(-1)).otherwise(F.ascii(after)).alias("_next"),
     )
     counted = pieces.groupBy(id, "repeat").agg(
         F.count(F.lit(1)).alias("freq"), F.min("_next").alias("_low"), F.max("_next").alias("_high")
