@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecfold.operators.graph import union_all
 from vecfold.operators.repeats import windows
 from vecfold.plans.lineage import cut, cut_counted, sized_broadcast
 from vecfold.plans.ordered import prefix, ranges
@@ -25,41 +26,49 @@ WIDTH = 16
 
 @dataclass
 class Suffixes:
-    """``heads`` is (id, pos, w); level k of ``levels`` names the first WIDTH * 2**k code points."""
+    """Ranks of all suffixes, and which suffixes were still alike after each doubling."""
 
-    heads: DataFrame
-    levels: list[DataFrame]  # (id, pos, rank); ranks of the last level are unique
+    heads: DataFrame  # id, pos, w: the first WIDTH code points
+    ranks: DataFrame  # id, pos, rank: unique, global
+    alike: list[DataFrame]  # id, pos, rank: level k shares the first WIDTH * 2**k code points
 
 
 def order_suffixes(df: DataFrame, id: str, text: str) -> Suffixes:
-    """Global order of all suffixes by (id, suffix) in code-point order."""
-    heads = cut(windows(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "id", "text", WIDTH))
+    """Global order of all suffixes by (id, suffix) in code-point order.
+
+    Each round writes only the suffixes it renames. Those are joined to the ranks ``width``
+    further on by an inner join (texts get an end mark), so that once few are left Spark
+    broadcasts them and the bulk of the ranks is scanned without a shuffle.
+    """
+    docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    heads = cut(windows(docs, "id", "text", WIDTH))
+    ends = docs.select("id", (F.length("text") + 1).alias("pos"), F.lit(-1).cast("long").alias("rank"))
     counted = heads.groupBy("id", "w").agg(F.count(F.lit(1)).alias("cnt"))
     run = prefix(ranges(counted, ["id", "w"]), ["id", "w"], [], run=("sum", "cnt"))
     names = run.select("id", "w", (F.col("run") - F.col("cnt")).alias("rank"), "cnt")
     shared = F.sum((F.col("cnt") > 1).cast("long"))
     now, seen = cut_counted(heads.join(names, ["id", "w"]).select("id", "pos", "rank", "cnt"), shared=shared)
-    levels, width = [now.select("id", "pos", "rank")], WIDTH
-    while seen["shared"]:
+    settled, alike, width = [], [], WIDTH
+    while True:
+        settled.append(now.filter(F.col("cnt") == 1).select("id", "pos", "rank"))
+        if not seen["shared"]:
+            return Suffixes(heads, union_all(settled), alike)
         open_ = now.filter(F.col("cnt") > 1).select("id", "pos", "rank")
-        ahead = levels[-1].select("id", (F.col("pos") - width).alias("pos"), F.col("rank").alias("_next"))
-        open_ = cut(
-            open_.join(ahead, ["id", "pos"], "left").select("id", "pos", "rank", F.coalesce("_next", F.lit(-1)).alias("_next"))
-        )
+        alike.append(open_)
+        known = union_all([ends, open_, *settled])
+        ahead = known.select("id", (F.col("pos") - width).alias("pos"), F.col("rank").alias("_next"))
+        open_ = cut(open_.join(ahead, ["id", "pos"]).select("id", "pos", "rank", "_next"))
         counted = open_.groupBy("rank", "_next").agg(F.count(F.lit(1)).alias("cnt"))
         run = prefix(ranges(counted, ["rank", "_next"]), ["_next"], ["rank"], run=("sum", "cnt"))
         names = run.select("rank", "_next", (F.col("rank") + F.col("run") - F.col("cnt")).alias("_new"), "cnt")
         split = open_.join(names, ["rank", "_next"]).select("id", "pos", F.col("_new").alias("rank"), "cnt")
-        settled = now.filter(F.col("cnt") == 1)
-        now, seen = cut_counted(settled.unionByName(split), shared=shared)
-        levels.append(now.select("id", "pos", "rank"))
+        now, seen = cut_counted(split, shared=shared)
         width *= 2
-    return Suffixes(heads, levels)
 
 
 def suffix_rank(df: DataFrame, id: str, text: str) -> DataFrame:
     """``(id, pos, rank)``: 1-based position and 0-based rank of every suffix of each text."""
-    last = order_suffixes(df, id, text).levels[-1]
+    last = order_suffixes(df, id, text).ranks
     base = sized_broadcast(last.groupBy("id").agg(F.min("rank").alias("_base")), 64)
     return last.join(base, "id").select(F.col("id").alias(id), "pos", (F.col("rank") - F.col("_base")).alias("rank"))
 
@@ -80,14 +89,14 @@ def common_prefixes(s: Suffixes) -> DataFrame:
     ``rank`` is global; the first suffix of a text has -1. The doubling levels are walked from
     the widest down, so a common prefix of n code points costs log(n) joins.
     """
-    last = s.levels[-1]
+    last = cut(s.ranks)
     before = last.select("id", (F.col("rank") + 1).alias("rank"), F.col("pos").alias("prev"))
     pairs = last.join(before, ["id", "rank"], "left")
     firsts = pairs.filter(F.col("prev").isNull()).select("id", "pos", "rank", F.lit(-1).cast("long").alias("lcp"))
     pairs = cut(pairs.filter(F.col("prev").isNotNull()).withColumn("lcp", F.lit(0).cast("long")))
-    for k in range(len(s.levels) - 2, -1, -1):
-        mine = s.levels[k].select("id", F.col("pos").alias("_p"), F.col("rank").alias("_mine"))
-        theirs = s.levels[k].select("id", F.col("pos").alias("_q"), F.col("rank").alias("_theirs"))
+    for k in range(len(s.alike) - 1, -1, -1):
+        mine = s.alike[k].select("id", F.col("pos").alias("_p"), F.col("rank").alias("_mine"))
+        theirs = s.alike[k].select("id", F.col("pos").alias("_q"), F.col("rank").alias("_theirs"))
         moved = pairs.withColumns({"_p": F.col("pos") + F.col("lcp"), "_q": F.col("prev") + F.col("lcp")})
         moved = moved.join(mine, ["id", "_p"], "left").join(theirs, ["id", "_q"], "left")
         gain = F.when(F.col("_mine") == F.col("_theirs"), F.lit(WIDTH << k)).otherwise(0)
