@@ -15,6 +15,7 @@ from vecfold.operators.ingest import ingest
 from vecfold.plans.lineage import shared_dir
 from vecfold.sources import store
 from vecfold.sources.files import read_content, scan_files
+from vecfold.streaming.ingest import ingest_stream
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -170,6 +171,19 @@ def ingest_twice(t: Tables):
     return components(stored.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding"), "doc_id")
 
 
+@query(folded("documents", "doc_id"))
+def ingest_streamed(t: Tables):
+    """The same records as a stream of files."""
+    table, docs = _store(t), t.documents
+    source = (
+        t.spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
+    ).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    place = f"{shared_dir(t.spark)}/vecfold-streams/{uuid.uuid4().hex}"
+    ingest_stream(source, table, CharFold(), "ollama", "char fold", place, "doc_id", "text").awaitTermination()
+    stored = t.spark.table(table)
+    return components(stored.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding"), "doc_id")
+
+
 @query("SELECT doc_id, length(text) AS n FROM documents")
 def guarded_input(t: Tables):
     return guard_input(t.documents, "text").select("doc_id", F.length("text").alias("n"))

@@ -32,7 +32,10 @@ def roots_counted(links: DataFrame) -> tuple[DataFrame, int]:
     Pointer jumping, three steps per job: the number of jobs is the logarithm of the depth. A
     row is settled once its new parent is seen to point to itself. Also counts the non-roots.
     """
-    now = cut(links.select("g", "id", "parent"))
+    apart = F.sum((F.col("id") != F.col("parent")).cast("long"))
+    now, seen = cut_counted(links.select("g", "id", "parent"), below=apart)
+    if not seen["below"]:
+        return now.withColumnRenamed("parent", "root"), 0
     while True:
         one = now.select("g", F.col("id").alias("parent"), F.col("parent").alias("_one"))
         two = now.select("g", F.col("id").alias("_one"), F.col("parent").alias("_two"))
@@ -40,7 +43,7 @@ def roots_counted(links: DataFrame) -> tuple[DataFrame, int]:
         now, seen = cut_counted(
             jumped.select("g", "id", "_one", F.col("_two").alias("parent")),
             moved=F.sum((F.col("_one") != F.col("parent")).cast("long")),
-            below=F.sum((F.col("id") != F.col("parent")).cast("long")),
+            below=apart,
         )
         now = now.select("g", "id", "parent")
         if not seen["moved"]:
@@ -279,8 +282,8 @@ def spanning_tree(index: Index, cores: DataFrame, lists: DataFrame | None = None
     within the radius of their best known edge.
     """
     cores = cut(cores.select("g", "id", "core"))
-    inside = _inside_blocks(index, cores)
     alone = cut(index.blocks.groupBy("g").count().filter("count = 1").select("g"))
+    inside = _inside_blocks(index.blocks.join(alone, "g", "left_semi"), cores.join(alone, "g", "left_semi"))
     cores = cut(cores.join(alone, "g", "left_anti"))
     shape = cores.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("g").alias("k")).first()
     wanted = shape["n"] - shape["k"]
@@ -321,11 +324,9 @@ def spanning_tree(index: Index, cores: DataFrame, lists: DataFrame | None = None
     return cut(union_all([inside, *tree]))
 
 
-def _inside_blocks(index: Index, cores: DataFrame) -> DataFrame:
+def _inside_blocks(single: DataFrame, cores: DataFrame) -> DataFrame:
     """Spanning trees of the groups that are a single block, grown inside the block."""
-    single = index.blocks.groupBy("g").agg(F.count(F.lit(1)).alias("_k"), F.max("payload").alias("payload"))
-    single = single.filter("_k = 1").select("g", F.lit(0).cast("long").alias("block"), "payload")
-    state = _state(cores.withColumn("block", F.lit(0).cast("long")).join(single.select("g"), "g", "left_semi"), ["core"])
+    state = _state(cores.withColumn("block", F.lit(0).cast("long")), ["core"]).drop("block")
     schema = T.StructType(
         [cores.schema["g"], T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("w", T.DoubleType())]
     )
@@ -354,7 +355,7 @@ def _inside_blocks(index: Index, cores: DataFrame) -> DataFrame:
                 )
 
     n = int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = single.join(state, ["g", "block"]).repartition(n, "g")
+    packed = single.join(state, "g").repartition(n, "g")
     return cut(packed.select("g", "payload", "state").mapInArrow(run, schema))
 
 
