@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from vecfold.operators import sample as S
 from vecfold.operators import trials as T
 from vecfold.operators.report import cluster_report, membership, relabel
+from vecfold.plans import lineage
 from vecfold.plans.ordered import ordinal, prefix, ranges
 
 
@@ -90,3 +91,13 @@ def test_halving_drops_nobody_first(spark):
     best = T.halving_winner(history).first()
     top = max((a * 37 + b * 11) % 97 for a in T.MIN_SAMPLES for b in T.MIN_CLUSTER_SIZE)
     assert (best["min_samples"] * 37 + best["min_cluster_size"] * 11) % 97 == top
+
+
+def test_scratch_lies_in_the_shared_folder_and_can_be_dropped(spark):
+    out = lineage.cut(spark.range(10))
+    files = out.inputFiles()
+    assert out.count() == 10 and lineage.scratch_dir(spark).split(":")[-1] in files[0]
+    lineage.drop_scratch(spark)
+    import os
+
+    assert not os.path.exists(files[0].split("://")[-1])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecfold.operators.neighbors import (
-    Index, SLACK, distances, dump, load, margin, needed_cells, pair_distances, part_of, stream, to_cells,
+    Index, SLACK, distances, dump, load, margin, needed_cells, pair_distances, part_of, stream,
     _partners,
 )
 from vecfold.plans.lineage import cut, cut_counted

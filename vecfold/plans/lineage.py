@@ -27,10 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/vecfold/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application has cut; frames that still read them become unusable."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a scan of the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vecfold/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
