@@ -7,7 +7,8 @@ blocks meet through equi-joins and a NumPy kernel keeps a reduced state per bloc
 * pivots, drawn by hash, split each group into cells; a cell of any size is cut into many
   blocks, so a dense region cannot end up in one task;
 * triangle and hyperplane bounds tell which cells a block can need, and only those are joined;
-* a task streams the partners of a block one at a time, so memory is two blocks.
+* a task streams the partners of a block one at a time, so memory is two blocks (Spark bounds
+  Arrow batches by bytes, ``spark.sql.execution.arrow.maxBytesPerBatch``).
 
 When the bounds cannot exclude anything (unstructured high-dimensional data) the work is
 quadratic, as it is for every exact method; sample first, as the parameter search does.
@@ -23,7 +24,7 @@ from typing import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,11 +35,6 @@ MAX_PIVOTS = 512  # expected number per group
 SLACK = 1e-9  # relative safety margin on floating-point bounds
 
 
-def limit_batches(spark: SparkSession) -> None:
-    """Block payloads are large rows: bound Arrow batches by bytes, not only by row count."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
-
-
 def dump(**arrays) -> bytes:
     return pickle.dumps(arrays, protocol=5)
 
@@ -113,7 +109,6 @@ def chunked(points: DataFrame, sizes: DataFrame, keys: list[str], block_rows: in
 
 def build_index(points: DataFrame, extras: list[str], block_rows: int = BLOCK_ROWS) -> Index:
     """Pivot cells over ``(g, id, v, *extras)``."""
-    limit_batches(points.sparkSession)
     sizes, seen = cut_counted(points.groupBy("g").agg(F.count(F.lit(1)).alias("_n")), most=F.max("_n"))
     g_field = _g_field(points)
     if (seen["most"] or 0) <= block_rows:
@@ -387,7 +382,6 @@ def knn(index: Index, k: int) -> DataFrame:
 
 def nearest_rows(queries: DataFrame, index: Index, k: int = 1) -> DataFrame:
     """Like ``knn`` for query rows ``(g, id, v)`` against indexed rows."""
-    limit_batches(queries.sparkSession)
     packs = pack(
         chunked(queries, group_sizes(queries), ["g"], BLOCK_ROWS), ["g", "_chunk"], []
     ).withColumnRenamed("_chunk", "block")
