@@ -17,15 +17,17 @@ def windows(df: DataFrame, id: str, text: str, width: int, by: list[str] = ()) -
     """``(id, pos, w)`` for every 1-based position: the text from it on, at most ``width`` long.
 
     Texts are first cut into overlapping chunks, because ``substring`` walks the string from
-    its start: the cost per position then depends on the chunk, not on the text.
+    its start: the cost per position then depends on the chunk, not on the text. Chunks are
+    shuffled before they are multiplied, so one huge text is not one task.
     """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     body, size = F.col(text), F.length(text)
     starts = F.sequence(F.lit(1), size, F.lit(CHUNK))
     chunks = df.filter(size > 0).select(id, body.alias("_t"), F.explode(starts).alias("_start")).select(
         id, "_start", F.substring(F.col("_t"), F.col("_start"), F.lit(CHUNK + width)).alias("_c")
     )
     inside = F.sequence(F.lit(1), F.least(F.length("_c"), F.lit(CHUNK)))
-    return chunks.select(id, "_start", "_c", F.explode(inside).alias("_p")).select(
+    return chunks.repartition(n, id, "_start").select(id, "_start", "_c", F.explode(inside).alias("_p")).select(
         id,
         (F.col("_start") + F.col("_p") - 1).alias("pos"),
         F.substring(F.col("_c"), F.col("_p"), F.lit(width)).alias("w"),
