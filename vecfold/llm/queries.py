@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecfold.llm import mixing, quality_rules, secret_scan, simhash, toxicity
+from vecfold.llm import mixing, packing, quality_rules, rule_ensemble, secret_scan, simhash, topk, toxicity
 from vecfold.llm.texts import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SECRET_VOCABULARY = "byte_bpe_50k.tiktoken"
+PACKING_TOKENIZER = "word_bpe_49k.json"
 LABEL_FOLDS, HELD_OUT_FOLD = 5, 0
 
 
@@ -58,6 +59,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), public_tokenizers.path(SECRET_VOCABULARY))
 
 
+@query()
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+
+
 @query()
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -65,6 +71,25 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit_ratios(docs, trusted))
 
 
+TOP_K_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query(TOP_K_SQL)
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
 MIXING_SQL = r"""
 WITH rows AS (
     SELECT doc_id, source,
@@ -111,6 +136,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rule_ensemble.fit(docs, learnable(table(spark, sf_dir, "labels"), "quality"))
+    known = rule_ensemble.statistics(docs.select("doc_id", "text", held_out().alias("held_out")), "doc_id", "held_out")
+    scored = known.select("doc_id", "held_out", model.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query()
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
