@@ -154,5 +154,6 @@ def judge(docs: DataFrame, ratios: list[int], least: float = LEAST_MEAN_RATIO) -
 def fit_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Log ratios of the documents whose ids are in ``trusted`` against all documents."""
     ids = trusted.select(F.col("doc_id").alias("_trusted")).distinct()
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left")
+    # one plan at every size: texts are dealt by id once, ids are hashed per partition
+    marked = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_trusted"), "left")
     return log_ratios(bucket_counts(marked, F.col("_trusted").isNotNull(), buckets))
