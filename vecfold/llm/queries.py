@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecfold.llm import mixing, packing, quality_rules, rule_ensemble, secret_scan, simhash, topk, toxicity
+from vecfold.llm import mixing, packing, quality_rules, rule_ensemble, secret_scan, simhash, suffix_dedup, topk, toxicity
 from vecfold.llm.texts import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,37 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
 
 
+REPEATS_SQL = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+chunks AS (
+    SELECT doc_id, 1000 * c AS base, substr(h, 2000 * c + 1, 2098) AS part
+    FROM texts, range(0, len(h) // 2000 + 1) AS r(c)),
+strings AS (
+    SELECT doc_id, base + i AS i, substr(part, 2 * i + 1, 100) AS g
+    FROM chunks, range(0, least(1000, len(part) // 2 - 49)) AS r(i)),
+first_ids AS (SELECT g, min(doc_id) AS low FROM strings GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+hits AS (
+    SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true)::INT AS fresh
+    FROM strings JOIN first_ids USING (g) WHERE doc_id > low),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM hits),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, span),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM spans),
+kept AS (
+    SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last_end,
+           string_agg(substr(h, 2 * kept_from::BIGINT + 1, 2 * (a - kept_from)::BIGINT), '' ORDER BY a) AS kept
+    FROM cuts JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last_end, 0)::BIGINT + 1))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)"""
+
+
+@query(REPEATS_SQL)
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
