@@ -36,9 +36,9 @@ LENGTH = 50
 # Bytes of an anchor gram; a string of LENGTH bytes holds WINDOW of them.
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 # Text bytes for each deal of hashes and of records.
-HASH_DEAL, RECORD_DEAL = 48 << 20, 16 << 20
+HASH_DEAL, RECORD_DEAL = 32 << 20, 4 << 20
 HASH_BITS = 40
 PLACE_BITS = np.uint64(32)
 # A record: bytes from the anchor on, bytes before it (at the right end of their field), both lengths.
