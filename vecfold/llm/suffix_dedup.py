@@ -36,9 +36,11 @@ LENGTH = 50
 # Bytes of an anchor gram; a string of LENGTH bytes holds WINDOW of them.
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
+# Strings whose anchors are found at once; a stretch cut here gives two records.
+STRINGS_AT_ONCE = 1 << 19
 # Text bytes for each deal of hashes and of records.
-HASH_DEAL, RECORD_DEAL = 32 << 20, 4 << 20
+HASH_DEAL, RECORD_DEAL = 8 << 20, 4 << 20
 HASH_BITS = 40
 PLACE_BITS = np.uint64(32)
 # A record: bytes from the anchor on, bytes before it (at the right end of their field), both lengths.
@@ -69,10 +71,25 @@ def anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     The anchor of a string is the leftmost least hash among its grams, so strings of a document with
     one anchor start at consecutive places. Strings that would cross documents are left out.
     """
-    hashes = gram_hashes(np.frombuffer(block.data, np.uint8))
-    starts = len(hashes) - WINDOW + 1
-    if starts <= 0:
+    data = np.frombuffer(block.data, np.uint8)
+    # how many documents hold the string that starts here: one, or none where it would cross
+    inside = np.zeros(len(data) + 1, np.int8)
+    long = block.ends - block.starts >= LENGTH
+    inside[block.starts[long]] += 1
+    inside[block.ends[long] - LENGTH + 1] -= 1
+    np.cumsum(inside, out=inside)
+    found = []
+    for begin in range(0, len(data) - LENGTH + 1, STRINGS_AT_ONCE):
+        found.append(_anchors_from(data, begin, inside))
+    if not found:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _anchors_from(data: np.ndarray, begin: int, inside: np.ndarray):
+    """``anchors`` of at most ``STRINGS_AT_ONCE`` strings."""
+    hashes = gram_hashes(data[begin : begin + STRINGS_AT_ONCE + LENGTH - 1])
+    starts = len(hashes) - WINDOW + 1
     least = (hashes >> PLACE_BITS << PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
     width = 1
     while 2 * width <= WINDOW:
@@ -80,16 +97,12 @@ def anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         width *= 2
     rest = WINDOW - width
     least = np.minimum(least[:starts], least[rest : rest + starts])
-    inside = np.zeros(len(block.data) + 1, np.int32)
-    starting, ending = block.starts, np.maximum(block.ends - LENGTH + 1, block.starts)
-    np.add.at(inside, starting, 1), np.add.at(inside, ending, -1)
-    valid = np.flatnonzero(np.cumsum(inside)[:starts] > 0)
-    if not len(valid):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    valid = np.flatnonzero(inside[begin : begin + starts])
     at = (least[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    edges = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    first, last = valid[edges], valid[np.append(edges[1:], len(valid)) - 1]
-    return at[edges], first, last, hashes[at[edges]] >> np.uint64(64 - HASH_BITS)
+    edges = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    last = valid[np.append(edges[1:], len(valid)) - 1] if len(edges) else edges
+    codes = hashes[at[edges]] >> np.uint64(64 - HASH_BITS)
+    return begin + at[edges], begin + valid[edges], begin + last, codes
 
 
 def documents_of(block: Block, places: np.ndarray) -> np.ndarray:
@@ -339,14 +352,12 @@ def covered_bytes(block: Block, run: Run, bits: np.ndarray) -> np.ndarray:
     """Which bytes of the block lie in strings that an earlier document has; ``bits`` is by record."""
     lowest = run.docs == run.low[run.of]
     flags = np.where(lowest, bits[run.of] if len(bits) else 0, 0xFFFFFFFF)
-    which, start = np.nonzero(
-        (np.arange(WINDOW)[None, :] <= (run.last - run.first)[:, None])
-        & (flags[:, None] >> np.arange(WINDOW, dtype=np.uint32)[None, :] & 1).astype(bool)
-    )
-    begin = run.first[which] + start
     edges = np.zeros(len(block.data) + 1, np.int32)
-    np.add.at(edges, begin, 1), np.add.at(edges, begin + LENGTH, -1)
-    return np.cumsum(edges)[:-1] > 0
+    for start in range(WINDOW):
+        begin = run.first[(flags >> start & 1).astype(bool) & (run.first + start <= run.last)] + start
+        np.add.at(edges, begin, 1), np.add.at(edges, begin + LENGTH, -1)
+    np.cumsum(edges, out=edges)
+    return edges[:-1] > 0
 
 
 def _remove(hash_deals: int, deals: int):
