@@ -36,11 +36,13 @@ LENGTH = 50
 # Bytes of an anchor gram; a string of LENGTH bytes holds WINDOW of them.
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+# Distinct records whose strings are compared at once, unless one gram has more.
+ROWS_AT_ONCE = 1 << 13
 # Strings whose anchors are found at once; a stretch cut here gives two records.
-STRINGS_AT_ONCE = 1 << 19
+STRINGS_AT_ONCE = 1 << 18
 # Text bytes for each deal of hashes and of records.
-HASH_DEAL, RECORD_DEAL = 8 << 20, 4 << 20
+HASH_DEAL, RECORD_DEAL = 8 << 20, 2 << 20
 HASH_BITS = 40
 PLACE_BITS = np.uint64(32)
 # A record: bytes from the anchor on, bytes before it (at the right end of their field), both lengths.
@@ -309,30 +311,40 @@ def smallest_ids(records: np.ndarray, low: np.ndarray, lcp: np.ndarray) -> np.nd
     sizes = np.diff(np.append(np.flatnonzero(head), len(rows)))
     shared = np.repeat(sizes > 1, sizes)
     out = np.repeat(least[:, None], WINDOW, axis=1)
-    rows_shared = rows[shared]
-    if len(rows_shared):
-        # bytes in text order: left field, right field; the string at start t begins left + t bytes in
-        flat = np.hstack([rows_shared[:, RIGHT : RIGHT + LEFT], rows_shared[:, :RIGHT]])
-        right, left = rows_shared[:, -2].astype(int), rows_shared[:, -1].astype(int)
-        which, start = np.nonzero(np.arange(WINDOW)[None, :] < (left + right - LENGTH + 1)[:, None])
-        begin = LEFT - left[which] + start
-        strings = np.zeros((len(which), LENGTH + 1), np.uint8)
-        for k in range(LENGTH):
-            strings[:, k] = flat[which, begin + k]
-        strings[:, -1] = begin  # where the anchor is in the string
-        order = np.argsort(strings.view(f"V{LENGTH + 1}").ravel(), kind="stable")
-        sorted_strings = strings[order]
-        new = np.append(True, (sorted_strings[1:] != sorted_strings[:-1]).any(axis=1))
-        ids = least[shared][which]
-        lowest = np.minimum.reduceat(ids[order], np.flatnonzero(new))
-        found = np.empty(len(which), np.int64)
-        found[order] = lowest[np.cumsum(new) - 1]
-        part = out[shared]
-        part[which, start] = found
-        out[shared] = part
+    # whole groups at a time, so what is spread out is bounded
+    wanted = np.flatnonzero(shared)
+    ends = np.cumsum(sizes[sizes > 1])
+    begin = 0
+    while begin < len(wanted):
+        end = ends[np.searchsorted(ends, begin + ROWS_AT_ONCE, side="right") - 1] if ends[0] <= begin + ROWS_AT_ONCE else ends[0]
+        end = end if end > begin else ends[np.searchsorted(ends, begin, side="right")]
+        part = wanted[begin:end]
+        out[part] = _least_of_strings(rows[part], least[part], out[part])
+        begin = int(end)
     return out[record]
 
 
+def _least_of_strings(rows: np.ndarray, least: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``out`` with the smallest id of every string that the distinct records ``rows`` hold."""
+    # bytes in text order: left field, right field; the string at start t begins left + t bytes in
+    flat = np.hstack([rows[:, RIGHT : RIGHT + LEFT], rows[:, :RIGHT]])
+    right, left = rows[:, -2].astype(int), rows[:, -1].astype(int)
+    which, start = np.nonzero(np.arange(WINDOW)[None, :] < (left + right - LENGTH + 1)[:, None])
+    begin = LEFT - left[which] + start
+    strings = np.zeros((len(which), LENGTH + 1), np.uint8)
+    for k in range(LENGTH):
+        strings[:, k] = flat[which, begin + k]
+    strings[:, -1] = begin  # where the anchor is in the string
+    order = np.argsort(strings.view(f"V{LENGTH + 1}").ravel(), kind="stable")
+    strings = strings[order]
+    new = np.append(True, (strings[1:] != strings[:-1]).any(axis=1))
+    lowest = np.minimum.reduceat(least[which][order], np.flatnonzero(new))
+    found = np.empty(len(which), np.int64)
+    found[order] = lowest[np.cumsum(new) - 1]
+    out[which, start] = found
+    return out
+
+
 def _merge_pieces(group: pa.Table) -> pa.Table:
     pieces = [decoded(p) for p in group.column("piece").to_pylist()]
     run, place, lcp = merge([(shared, records) for shared, _, records in pieces])
