@@ -56,6 +56,12 @@ class _Ids(dict):
         return found
 
 
+@lru_cache
+def known_ids(path: str) -> _Ids:
+    """The words that this worker has met, over all its tasks."""
+    return _Ids(path)
+
+
 def token_bytes(text: str, ids: _Ids) -> bytes:
     """Ids of the text and the end, four bytes each.
 
@@ -68,7 +74,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: documents cut where they exceed ``size`` tokens."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(path)
+        ids = known_ids(path)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
