@@ -59,10 +59,10 @@ def test_ingest_files_is_incremental(spark, folder):
 def test_ingest_stops_between_slices_and_resumes(spark):
     rows = spark.createDataFrame([(f"k{i}", f"text {i}") for i in range(40)], "filename string, content string")
     calls = iter([False, True])
-    ingest(rows, "stopping", CharFold(), "ollama", "m", slices=4, stopped=lambda: next(calls))
+    ingest(rows, "stopping", CharFold(), "ollama", "m", order="content", slices=4, stopped=lambda: next(calls))
     some = spark.table("stopping").count()
     assert 0 < some < 40
-    ingest(rows, "stopping", CharFold(), "ollama", "m", slices=4)
+    ingest(rows, "stopping", CharFold(), "ollama", "m", order="content", slices=4)
     assert spark.table("stopping").count() == 40
     assert spark.table("stopping").select("filename").distinct().count() == 40
 

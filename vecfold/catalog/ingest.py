@@ -166,7 +166,7 @@ def ingest_twice(t: Tables):
     """Two runs over the same records leave one vector per key."""
     table, source = _store(t), t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     for _ in range(2):
-        ingest(source, table, CharFold(), "ollama", "char fold", "doc_id", "text", slices=2)
+        ingest(source, table, CharFold(), "ollama", "char fold", "doc_id", "text", order="text", slices=2)
     stored = t.spark.table(table)
     return components(stored.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding"), "doc_id")
 
@@ -179,7 +179,7 @@ def ingest_streamed(t: Tables):
         t.spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
     ).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     place = f"{shared_dir(t.spark)}/vecfold-streams/{uuid.uuid4().hex}"
-    ingest_stream(source, table, CharFold(), "ollama", "char fold", place, "doc_id", "text").awaitTermination()
+    ingest_stream(source, table, CharFold(), "ollama", "char fold", place, "doc_id", "text", order="text").awaitTermination()
     stored = t.spark.table(table)
     return components(stored.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding"), "doc_id")
 

@@ -26,6 +26,17 @@ def repeats_bounded(t: Tables):
     return X.repeats(keyed, "key", "text", 0, 4)
 
 
+@query("""
+WITH spots AS (SELECT doc_id, text AS s, unnest(range(1, length(text) - 30)) AS p FROM documents),
+pieces AS (SELECT doc_id, substring(s, p, 32) AS repeat, substring(s, p + 32, 1) AS nxt FROM spots)
+SELECT repeat, count(*) AS freq, count(DISTINCT doc_id) AS docs FROM pieces GROUP BY repeat
+HAVING count(DISTINCT doc_id) >= 2 AND min(nxt) <> max(nxt)
+""")
+def repeats_corpus(t: Tables):
+    """Passages of 32 characters that several whole documents hold and that go on in more than one way."""
+    return X.corpus_repeats(t.documents, "doc_id", "text", 32, 32)
+
+
 def unbounded_sql(table: str, key: str, text: str) -> str:
     return f"""
     WITH spots AS (SELECT {key}, {text} AS s, unnest(range(1, length({text}) + 1)) AS p FROM {table}),

@@ -337,16 +337,21 @@ def _inside_blocks(single: DataFrame, cores: DataFrame) -> DataFrame:
                 part = part_of(batch, i)
                 x, ids, core = part["x"], part["id"], part["core"]
                 n = len(ids)
-                best, source, free = np.full(n, np.inf), np.zeros(n, "i8"), np.ones(n, bool)
+                best, free = np.full(n, np.inf), np.ones(n, bool)
+                low, high = np.full(n, np.iinfo("i8").max), np.full(n, np.iinfo("i8").max)
                 at, ends, weights = 0, [], []
                 for _ in range(n - 1):
                     free[at] = False
                     diff = x - x[at]
                     w = np.maximum(np.sqrt((diff * diff).sum(1)), np.maximum(core, core[at]))
-                    closer = free & (w < best)
-                    best[closer], source[closer] = w[closer], at
-                    at = int(np.where(free, best, np.inf).argmin())
-                    ends.append((ids[source[at]], ids[at]))
+                    # edges in the order (w, a, b), so that the tree is the one of the block search
+                    a, b = np.minimum(ids, ids[at]), np.maximum(ids, ids[at])
+                    tied = (w == best) & ((a < low) | ((a == low) & (b < high)))
+                    closer = free & ((w < best) | tied)
+                    best[closer], low[closer], high[closer] = w[closer], a[closer], b[closer]
+                    near = np.flatnonzero(free & (best == np.where(free, best, np.inf).min()))
+                    at = int(near[np.lexsort((high[near], low[near]))[0]])
+                    ends.append((low[at], high[at]))
                     weights.append(best[at])
                 ends = np.sort(np.array(ends, "i8").reshape(-1, 2), axis=1)
                 yield pa.RecordBatch.from_pydict(

@@ -41,6 +41,8 @@ def ingest(
     crash between slices leaves valid progress, and a rerun skips what is stored. The same
     call serves one micro-batch of a stream.
     """
+    if order is None:
+        raise ValueError("name the column whose order says which row of a key is the first")
     spark = source.sparkSession
     create_if_missing(spark, table, embedder.dim, key)
     for i in range(slices):
@@ -48,7 +50,7 @@ def ingest(
             return
         part = source.filter(F.pmod(F.xxhash64(key), F.lit(slices)) == i) if slices > 1 else source
         store = spark.table(table).filter((F.col("embed_mode") == mode) & (F.col("model") == model))
-        rows = fresh_vectors(part, store, embedder, key, input_col, order or input_col, batch)
+        rows = fresh_vectors(part, store, embedder, key, input_col, order, batch)
         append(rows, table, mode, model)
 
 

@@ -80,7 +80,12 @@ def pack(rows: DataFrame, keys: list[str], extras: list[str]) -> DataFrame:
 
     def one(table: pa.Table) -> pa.Table:
         order = np.argsort(table["id"].to_numpy(), kind="stable")
-        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        lists = table["v"].combine_chunks()
+        sizes = set(lists.value_lengths().to_pylist())
+        if len(sizes) > 1 or None in sizes or lists.flatten().null_count:
+            shown = ", ".join("null" if s is None else str(s) for s in sorted(sizes, key=str))
+            raise ValueError(f"vectors of one size and without nulls are needed; sizes are {shown}")
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
         mat = flat.reshape(table.num_rows, -1)[order]
         cols = {c: table[c].to_numpy()[order] for c in ["id", *extras]}
         head = {k: table[k].slice(0, 1).combine_chunks() for k in keys}
@@ -262,11 +267,11 @@ def stream(
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     data = [c for c in ("payload", "state") if c in own.columns]
     theirs = others.select("g", F.col("block").alias("other"), *data)
-    partners = pairs.join(theirs, ["g", "other"]).select("g", "block", "other", "lower", *data)
+    partners = pairs.join(theirs, ["g", "other"]).select("g", "block", F.lit(1).alias("order"), "other", "lower", *data)
     rows = own.select(
-        "g", "block", F.lit(-1).cast("long").alias("other"), F.lit(-1.0).alias("lower"), *data
+        "g", "block", F.lit(0).alias("order"), F.lit(-1).cast("long").alias("other"), F.lit(-1.0).alias("lower"), *data
     ).unionByName(partners)
-    rows = rows.repartition(n, "g", "block").sortWithinPartitions("g", "block", "lower", "other")
+    rows = rows.repartition(n, "g", "block").sortWithinPartitions("g", "block", "order", "lower", "other")
     names = [f.name for f in schema.fields]
 
     def emit(kernel_state, g):
@@ -281,7 +286,7 @@ def stream(
             for i in range(batch.num_rows):
                 part = part_of(batch, i)
                 lower = batch["lower"][i].as_py()
-                if lower < 0:
+                if not batch["order"][i].as_py():
                     if state is not None:
                         yield emit(state, g)
                     g = batch["g"][i]

@@ -34,26 +34,48 @@ def windows(df: DataFrame, id: str, text: str, width: int, by: list[str] = ()) -
     )
 
 
-def repeats(
-    df: DataFrame, id: str, text: str, min_len: int = 0, max_len: int = 8, min_freq: int = 2
-) -> DataFrame:
-    """``(id, repeat, freq)`` for repeats of ``min_len`` to ``max_len`` code points.
-
-    One aggregation with map-side combine: a repeat continues in two ways exactly when its
-    smallest and largest continuation differ (the end of the text counts as code -1).
-    """
+def _pieces(df: DataFrame, id: str, text: str, min_len: int, max_len: int) -> DataFrame:
+    """``(id, repeat, _next)``: every piece of a text and how it continues, -1 at the end."""
     ahead = windows(df, id, text, max_len + 1)
     lengths = F.sequence(F.lit(min_len), F.least(F.length("w"), F.lit(max_len)))
     after = F.substring(F.col("w"), F.col("len") + 1, F.lit(1))
-    pieces = ahead.filter(F.length("w") >= min_len).select(id, "w", F.explode(lengths).alias("len")).select(
+    return ahead.filter(F.length("w") >= min_len).select(id, "w", F.explode(lengths).alias("len")).select(
         id,
         F.substring(F.col("w"), F.lit(1), F.col("len")).alias("repeat"),
         # as a number: strings have no hash aggregate for min and max
         F.when(after == "", F.lit(-1)).otherwise(F.ascii(after)).alias("_next"),
     )
+
+
+def repeats(
+    df: DataFrame, id: str, text: str, min_len: int = 0, max_len: int = 8, min_freq: int = 2
+) -> DataFrame:
+    """``(id, repeat, freq)`` for repeats of ``min_len`` to ``max_len`` code points.
+
+    One aggregation with map-side combine: a repeat continues in two ways exactly when its
+    smallest and largest continuation differ (the end of the text counts as code -1).
+    """
+    pieces = _pieces(df, id, text, min_len, max_len)
     counted = pieces.groupBy(id, "repeat").agg(
         F.count(F.lit(1)).alias("freq"), F.min("_next").alias("_low"), F.max("_next").alias("_high")
     )
     return counted.filter((F.col("freq") >= min_freq) & (F.col("_low") != F.col("_high"))).select(
         id, "repeat", "freq"
     )
+
+
+def corpus_repeats(
+    df: DataFrame, id: str, text: str, min_len: int, max_len: int, min_docs: int = 2
+) -> DataFrame:
+    """``(repeat, freq, docs)``: repeats over all texts together that at least ``min_docs`` texts hold.
+
+    Counted per text first and then over texts, so a repeat that most texts hold reaches the second
+    sum as one row per text and is combined before it is shuffled.
+    """
+    per_text = _pieces(df, id, text, min_len, max_len).groupBy(id, "repeat").agg(
+        F.count(F.lit(1)).alias("freq"), F.min("_next").alias("_low"), F.max("_next").alias("_high")
+    )
+    counted = per_text.groupBy("repeat").agg(
+        F.sum("freq").alias("freq"), F.count(F.lit(1)).alias("docs"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
+    )
+    return counted.filter((F.col("docs") >= min_docs) & (F.col("_low") != F.col("_high"))).select("repeat", "freq", "docs")

@@ -15,7 +15,7 @@ NOISE = -1
 
 
 def clustered(df: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Rows that belong to a cluster."""
+    """Rows that belong to a cluster; a row without a cluster number is noise."""
     return df.filter(F.col(cluster) != NOISE)
 
 
@@ -81,12 +81,13 @@ class Report:
 
 
 def cluster_report(df: DataFrame, id: str, v: str, cluster: str = "cluster") -> Report:
+    """Every row is a member of a cluster or an outlier; rows without a cluster number are outliers."""
     kept = clustered(df, cluster)
     extra = ["outlier_score"] if "outlier_score" in df.columns else []
     return Report(
         medoids(kept, id, v, [cluster]),
         kept.select(cluster, id),
-        df.filter(F.col(cluster) == NOISE).select(id, *extra),
+        df.filter(F.coalesce(F.col(cluster), F.lit(NOISE)) == NOISE).select(id, *extra),
     )
 
 

@@ -7,7 +7,6 @@ round starts from a plain Parquet scan.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -15,16 +14,18 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder set in ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder set in ``spark.checkpoint.dir``; where it is unset, one in the warehouse.
+
+    A warehouse on a local disk is not shared by the executors of a cluster, so it is refused there.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not sc.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not sc.master.startswith("local") and (":" not in warehouse or warehouse.startswith("file:")):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    fresh = tempfile.mkdtemp(prefix="vecfold-")
-    sc.setCheckpointDir(fresh)
-    return sc.getCheckpointDir().rstrip("/")
+    return f"{warehouse}/_vecfold"
 
 
 def scratch_dir(spark: SparkSession) -> str:

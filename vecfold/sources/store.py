@@ -50,7 +50,7 @@ def new_keys(candidates: DataFrame, store: DataFrame, key: str) -> DataFrame:
 
 
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by ``order``.
+    """The first row of each key by ``order``; rows without an order come last.
 
     A ``min_by`` aggregate combines on the map side, so a key that holds most rows reaches the
     shuffle as one row per task instead of being sorted in a window.
@@ -59,7 +59,7 @@ def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     packed = F.struct(*rest)
     return (
         rows.groupBy(key)
-        .agg(F.min_by(packed, F.col(order)).alias("_row"))
+        .agg(F.min_by(packed, F.struct(F.col(order).isNull(), F.col(order))).alias("_row"))
         .select(key, *[F.col("_row")[c].alias(c) for c in rest])
     )
 
