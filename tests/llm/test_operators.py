@@ -137,7 +137,8 @@ def test_plan_places_every_piece_once(seed):
         assert mine[:, 2].sum() == counts[length]
         assert (np.append(0, np.cumsum(mine[:, 2])[:-1]) == mine[:, 1]).all() if len(mine) else True
     assert used.max() <= 64
-    assert (used > 0).sum() <= 1.02 * math.ceil((counts * np.arange(65)).sum() / 64) + 2
+    if seed % 2 == 0:  # all lengths occur; of squares alone no tight packing need exist
+        assert (used > 0).sum() <= 1.02 * math.ceil((counts * np.arange(65)).sum() / 64) + 2
 
 
 # --- passages
@@ -173,7 +174,7 @@ def test_merge_of_runs(runs):
     rng = np.random.default_rng(runs)
     pieces = []
     for _ in range(runs):
-        rows = np.unique(rng.integers(97, 99, (40, suffix_dedup.WIDTH), dtype=np.uint8) // rng.integers(1, 2), axis=0)
+        rows = rng.integers(97, 99, (40, suffix_dedup.WIDTH), dtype=np.uint8)
         rows[:, 8:] = 97
         rows = np.unique(rows, axis=0)
         blob = suffix_dedup.front_coded(rows, np.arange(len(rows)))
@@ -228,7 +229,7 @@ def vectors():
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
     data += [(i, [0.5] * 6) for i in range(300, 330)]  # ties
-    data += [(330, None), (331, [1.0, None, 0, 0, 0, 0]), (332, [float("nan")] * 6), (333, [float("inf")] * 6)]
+    data += [(330, None), (331, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (332, [float("nan")] * 6), (333, [float("inf")] * 6)]
     return data + [(334, []), (335, [1.0, 2.0]), (None, [1.0] * 6), (300, [0.5] * 6), (336, [1e300] * 6)]
 
 
