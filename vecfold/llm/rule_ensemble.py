@@ -39,6 +39,8 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` and the statistics of ``text``; all are 0 for a null or empty text."""
     text = F.col("_text")
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    # of frequent characters: whole runs are taken out, so no match per character is kept
+    often = lambda runs: F.length(text) - F.length(F.regexp_replace(text, runs, ""))
     per = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     some = F.greatest(F.size("_words") - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice("_words", 1, some).alias("a"), F.slice("_words", 2, some).alias("b"))
@@ -47,7 +49,7 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
         F.length(text).alias("_n"),
         F.array_remove(F.split(text, GAP), "").alias("_words"),
         F.array_remove(F.split(text, r"\n+"), "").alias("_lines"),
-        count(r"\p{Lu}").alias("_upper"), count(r"\p{L}").alias("_letters"), count(r"[0-9]").alias("_digits"),
+        often(r"\p{Lu}+").alias("_upper"), often(r"\p{L}+").alias("_letters"), often(r"[0-9]+").alias("_digits"),
         count(r"[#*$%&|<>{}\[\]_=~^\\]").alias("_symbols"), count(r"[!?]").alias("_marks"), count(r"[.,;:]").alias("_stops"),
     )
     words, lines, n = F.size("_words"), F.size("_lines"), F.col("_n")
