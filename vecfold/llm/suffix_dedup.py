@@ -18,7 +18,8 @@ strings with one anchor make one record: the bytes right of the anchor, then tho
 5. The strings are laid over the texts again, and covered bytes go.
 
 A deal gets each record at most once from a block, so a passage that a third of all documents hold
-weighs no more than one record per block.
+weighs no more than one record per block. A gram that documents hold in different surroundings gives
+one record for each of these, and they stay in one deal.
 """
 
 from __future__ import annotations
