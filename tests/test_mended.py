@@ -11,7 +11,7 @@ from vecfold.operators.ingest import ingest
 from vecfold.operators.neighbors import build_index
 from vecfold.operators.repeats import corpus_repeats
 from vecfold.operators.report import cluster_report
-from vecfold.operators.validity import cluster_blocks, silhouette
+from vecfold.operators.validity import cluster_blocks, davies_bouldin, dunn, silhouette
 from vecfold.plans.lineage import shared_dir
 from vecfold.sources.store import first_per_key
 
@@ -64,6 +64,17 @@ def test_silhouette_takes_any_cluster_number(spark):
     assert 0.5 < plain < 1 and plain == pytest.approx(shifted)
 
 
+def test_scores_do_not_change_with_a_shift(spark):
+    rows = [(i, [float(i % 2) * 10 + i / 8, i / 4], i % 2) for i in range(40)]
+    scores = []
+    for by in (0.0, 1e8):
+        moved = [(0, i, [x + by for x in v], c) for i, v, c in rows]
+        frame = spark.createDataFrame(moved, "g int, id long, v array<double>, cluster long")
+        found = (dunn(frame), davies_bouldin(frame), silhouette(cluster_blocks(frame)))
+        scores.append([f.first()[1] for f in found])
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6) and min(scores[0]) > 0
+
+
 def test_corpus_repeats(spark):
     texts = ["abracadabra", "cadabra abra", "", None, "abra"]
     frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")

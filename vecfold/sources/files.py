@@ -47,7 +47,7 @@ def read_content(keys: DataFrame) -> DataFrame:
     """``(filename, content)`` for the listed ``(filename, path)`` rows.
 
     Runs after key filtering: each task opens the files of its own rows only, so bytes of files
-    that are already stored are never read. A file that vanished meanwhile is skipped.
+    that are already stored are never read. A file that vanished meanwhile or may not be read is skipped.
     """
 
     def load(batches):
@@ -58,7 +58,7 @@ def read_content(keys: DataFrame) -> DataFrame:
                 try:
                     with _open(path) as stream:
                         data = stream.read()
-                except FileNotFoundError:
+                except (FileNotFoundError, PermissionError):
                     continue
                 yield pa.RecordBatch.from_pydict(
                     {"filename": pa.array([name]), "content": pa.array([data], pa.binary())}
