@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vecfold.operators import sample as S
@@ -17,6 +18,16 @@ def test_design_uses_every_bucket_once(spark):
     assert len(orders) == 5
 
 
+@pytest.mark.parametrize("m", [1, 2, 30, 97])
+def test_points_stay_in_their_buckets_without_a_shuffle(spark, m):
+    df = spark.createDataFrame([(0, [0.0, -2.0]), (1, [1.0, 6.0])], "id long, v array<double>")
+    points = S.lhs_points(df, "v", m, 5)
+    assert "Exchange" not in points._jdf.queryExecution().executedPlan().toString()
+    got = np.array([r["v"] for r in points.collect()])
+    for axis, (low, high) in enumerate([(0, 1), (-2, 6)]):
+        assert sorted(np.floor((got[:, axis] - low) / (high - low) * m).astype(int)) == list(range(m))
+
+
 def test_sample_is_exact_distinct_and_repeatable(spark):
     df = spark.range(5000)
     for k in (0, 1, 777, 5000, 9000):

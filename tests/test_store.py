@@ -9,7 +9,7 @@ from vecfold.functions.embedders import CharFold, LoopbackService
 from vecfold.functions.names import is_image, table_name, table_name_of
 from vecfold.functions.payloads import reply_vectors
 from vecfold.functions.vectors import pack_f32, pool, unpack_f32
-from vecfold.operators.embed import call_with_retry, embed, embed_remote, guard_input
+from vecfold.operators.embed import Remote, call_with_retry, embed, embed_remote, guard_input
 from vecfold.operators.ingest import ingest, ingest_files
 from vecfold.sources import store
 from vecfold.sources.files import scan_files
@@ -67,6 +67,19 @@ def test_ingest_stops_between_slices_and_resumes(spark):
     assert spark.table("stopping").select("filename").distinct().count() == 40
 
 
+def test_ingest_refuses_vectors_of_another_size(spark):
+    rows = spark.createDataFrame([("a", "text")], "filename string, content string")
+    for number, embedder in enumerate([Remote(LoopbackService("content", CharFold(5)), 7), Remote(LoopbackService("model", CharFold(5)), 5, "model")]):
+        table = f"remote_{number}"
+        if embedder.dim == 5:
+            ingest(rows, table, embedder, "remote", "m", order="content")
+            assert [len(r["embedding"]) for r in spark.table(table).collect()] == [5]
+        else:
+            with pytest.raises(Exception, match="vector size mismatch: expected 7, got 5"):
+                ingest(rows, table, embedder, "remote", "m", order="content")
+            assert spark.table(table).count() == 0
+
+
 def test_hot_key_keeps_first_row(spark):
     rows = spark.range(3000).select(F.lit("hot").alias("filename"), F.col("id").alias("n"))
     first = store.first_per_key(rows.unionByName(rows.limit(1).withColumn("filename", F.lit("cold"))), "filename", "n")
@@ -88,8 +101,10 @@ def test_stream_ingest_twice_adds_nothing(spark, tmp_path):
     spark.createDataFrame([(f"k{i}", f"t{i}") for i in range(10)], "filename string, content string").write.parquet(source)
     for run in range(2):
         stream = spark.readStream.schema("filename string, content string").parquet(source)
-        query = ingest_stream(stream, "streamed", CharFold(), "ollama", "m", str(tmp_path / f"cp{run}"))
+        query = ingest_stream(stream, "streamed", CharFold(), "ollama", "m", str(tmp_path / f"cp{run}"), order="content")
         query.awaitTermination()
+    with pytest.raises(ValueError, match="order"):
+        ingest_stream(stream, "streamed", CharFold(), "ollama", "m", str(tmp_path / "unordered"))
     assert spark.table("streamed").count() == 10
 
 

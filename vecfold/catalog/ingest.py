@@ -10,7 +10,7 @@ from vecfold.catalog.registry import Tables, query
 from vecfold.functions import names, payloads
 from vecfold.functions.embedders import CharFold, LoopbackService
 from vecfold.functions.vectors import pack_f32, pool, pool_by, unpack_f32
-from vecfold.operators.embed import embed, embed_remote, guard_input
+from vecfold.operators.embed import Remote, embed, embed_remote, guard_input
 from vecfold.operators.ingest import ingest
 from vecfold.plans.lineage import shared_dir
 from vecfold.sources import store
@@ -171,6 +171,16 @@ def ingest_twice(t: Tables):
     return components(stored.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding"), "doc_id")
 
 
+@query(folded("documents", "doc_id", pooled=True))
+def ingest_remote(t: Tables):
+    """A remote service fills a table by the same call as a local embedder."""
+    table, source = _store(t), t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    service = Remote(LoopbackService("content"), 16)
+    ingest(source, table, service, "llama.cpp", "char fold", "doc_id", "text", order="text")
+    stored = t.spark.table(table)
+    return components(stored.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding"), "doc_id")
+
+
 @query(folded("documents", "doc_id"))
 def ingest_streamed(t: Tables):
     """The same records as a stream of files."""

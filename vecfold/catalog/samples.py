@@ -13,12 +13,16 @@ SEED = 11
 # the arithmetic design: points i, axes 0..63, one bucket of m per axis and point
 DESIGN_SQL = f"""
 size AS (SELECT ceil(count(*)::FLOAT * 0.2::FLOAT)::BIGINT AS m FROM embeddings),
-axes AS (SELECT i, axis FROM size, (SELECT unnest(range(0, m)) AS i FROM size), (SELECT unnest(range(0, 64)) AS axis)),
+starts AS (
+  SELECT m, axis, (({SEED} + 1) * 7919 + (axis + 1) * 104729) % m AS s, ({SEED} * 31 + (axis + 1) * 7907) % m AS shift
+  FROM size, (SELECT unnest(range(0, 64)) AS axis)),
+maps AS (
+  SELECT m, axis, shift, min(s + k) % m AS factor FROM starts, (SELECT unnest(range(0, 1000)) AS k)
+  WHERE gcd(s + k, m) = 1 GROUP BY m, axis, shift),
 design AS (
-  SELECT i, axis,
-    row_number() OVER (PARTITION BY axis ORDER BY ((i + 1) * (7919 + (axis + 1) * 104729) + {SEED}) % 1000003, i) - 1 AS bucket,
+  SELECT i, axis, (factor * i + shift) % m AS bucket,
     (((i + 1) * (axis + 1) * 7907 + {SEED} * 31) % 1000003) / 1000003.0::DOUBLE AS off
-  FROM axes
+  FROM maps, (SELECT unnest(range(0, m)) AS i FROM size)
 )"""
 NEAREST_SQL = f"""
 {DESIGN_SQL},

@@ -23,14 +23,13 @@ scores AS (SELECT grid_ord, min_samples, min_cluster_size, {SCORE} AS score FROM
 
 
 def order_scores(rows, trials):
-    """A cheap data-derived score per trial: one pass over the rows, trials as an array literal."""
+    """A cheap data-derived score per trial: one pass over the rows, one average per trial."""
     items = trials.collect()  # at most the size of the grid
+    mixed = [(F.col("o_orderkey") * r["min_samples"] + F.col("o_custkey") * r["min_cluster_size"] * 11) % 97 for r in items]
+    means = rows.agg(F.array(*[F.avg(x) / 97 for x in mixed]).alias("means"))
     literal = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in trials.columns]) for r in items])
-    spread = rows.select("o_orderkey", "o_custkey", F.explode(literal).alias("t")).select(
-        "o_orderkey", "o_custkey", *[F.col("t")[c].alias(c) for c in trials.columns]
-    )
-    mixed = (F.col("o_orderkey") * F.col("min_samples") + F.col("o_custkey") * F.col("min_cluster_size") * 11) % 97
-    return spread.groupBy(*trials.columns).agg((F.avg(mixed) / 97).alias("score"))
+    scored = means.select(F.posexplode("means").alias("at", "score")).select(F.get(literal, F.col("at")).alias("t"), "score")
+    return scored.select("t.*", "score")
 
 
 def full_scores(t: Tables):
@@ -137,9 +136,11 @@ def search_bounds(t: Tables):
 
 
 def _axis_sql(axis: int) -> str:
-    order = f"((i + 1) * (7919 + ({axis} + 1) * 104729) + {SEED}) % 1000003"
+    start = f"(({SEED} + 1) * 7919 + ({axis} + 1) * 104729) % 40"
+    factor = f"(SELECT min({start} + k) FROM (SELECT unnest(range(0, 40)) AS k) WHERE gcd({start} + k, 40) = 1)"
+    bucket = f"({factor} * i + {SEED} * 31 + ({axis} + 1) * 7907) % 40"
     offset = f"(((i + 1) * ({axis} + 1) * 7907 + {SEED} * 31) % 1000003) / 1000003.0::DOUBLE"
-    return f"((row_number() OVER (ORDER BY {order}, i) - 1) + {offset}) / 40.0::DOUBLE AS u{axis}"
+    return f"({bucket} + {offset}) / 40.0::DOUBLE AS u{axis}"
 
 
 @query(f"""

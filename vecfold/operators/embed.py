@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import DataFrame
@@ -63,6 +64,17 @@ def embed(
     return df.select(*kept, input_col).mapInArrow(run, schema)
 
 
+@dataclass(frozen=True)
+class Remote:
+    """A remote embedding service with vectors of size ``dim``, used like a local embedder."""
+
+    transport: Callable[[str], str]
+    dim: int
+    shape: str = "content"
+    model: str = ""
+    waits: tuple[float, ...] = RETRY_WAITS
+
+
 def call_with_retry(transport: Callable[[str], str], request: str, waits, sleep) -> str:
     for wait in waits:
         try:

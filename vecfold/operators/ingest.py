@@ -7,19 +7,29 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecfold.operators.embed import DEFAULT_BATCH, embed
+from vecfold.operators.embed import DEFAULT_BATCH, Remote, embed, embed_remote
 from vecfold.sources.files import read_content, scan_files
-from vecfold.sources.store import append, create_if_missing, first_per_key, new_keys
+from vecfold.sources.store import append, create_if_missing, first_per_key, load_vectors, new_keys
 
 
 def fresh_vectors(
     source: DataFrame, store: DataFrame, embedder, key: str, input_col: str, order: str,
     batch: int = DEFAULT_BATCH,
 ) -> DataFrame:
-    """``(key, embedding)`` for the first row of each key that is not stored yet."""
+    """``(key, embedding)`` for the first row of each key that is not stored yet.
+
+    ``embedder`` is a local one or a ``Remote``; vectors of another size than ``embedder.dim`` are refused.
+    """
     wanted = list(dict.fromkeys([key, input_col, order]))
     first = first_per_key(new_keys(source, store, key).select(*wanted), key, order)
-    return embed(first.select(key, input_col), input_col, "embedding", embedder, batch)
+    first = first.select(key, input_col)
+    if isinstance(embedder, Remote):
+        found = embed_remote(
+            first, input_col, "embedding", embedder.transport, embedder.shape, embedder.model, embedder.waits
+        )
+    else:
+        found = embed(first, input_col, "embedding", embedder, batch)
+    return load_vectors(found, embedder.dim, key)
 
 
 def ingest(

@@ -17,7 +17,10 @@ def ingest_stream(
     """Runs ``ingest`` on every micro-batch.
 
     A micro-batch that is replayed after a failure adds nothing, because its keys are stored.
+    ``order`` is needed, as for ``ingest``; without it no stream is started.
     """
+    if order is None:
+        raise ValueError("name the column whose order says which row of a key is the first")
 
     def commit(rows: DataFrame, _epoch: int) -> None:
         ingest(rows, table, embedder, mode, model, key, input_col, order, batch=batch)
