@@ -37,6 +37,18 @@ def repeats_corpus(t: Tables):
     return X.corpus_repeats(t.documents, "doc_id", "text", 32, 32)
 
 
+@query("""
+WITH spots AS (SELECT doc_id, text AS s, unnest(range(1, length(text) - 30)) AS p FROM documents),
+pieces AS (SELECT doc_id, substring(s, p, 32) AS repeat, substring(s, p + 32, 1) AS nxt FROM spots)
+SELECT repeat, count(*) AS freq, count(DISTINCT doc_id) AS docs FROM pieces GROUP BY repeat
+HAVING count(DISTINCT doc_id) >= 2
+   AND (min(nxt) <> max(nxt) OR count(DISTINCT doc_id) FILTER (WHERE nxt = '') >= 2)
+""")
+def repeats_corpus_ends(t: Tables):
+    """``repeats_corpus`` where each document end is its own continuation, so shared endings are repeats too."""
+    return X.corpus_repeats(t.documents, "doc_id", "text", 32, 32, own_ends=True)
+
+
 def unbounded_sql(table: str, key: str, text: str) -> str:
     return f"""
     WITH spots AS (SELECT {key}, {text} AS s, unnest(range(1, length({text}) + 1)) AS p FROM {table}),

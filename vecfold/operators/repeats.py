@@ -65,10 +65,13 @@ def repeats(
 
 
 def corpus_repeats(
-    df: DataFrame, id: str, text: str, min_len: int, max_len: int, min_docs: int = 2
+    df: DataFrame, id: str, text: str, min_len: int, max_len: int, min_docs: int = 2, own_ends: bool = False
 ) -> DataFrame:
     """``(repeat, freq, docs)``: repeats over all texts together that at least ``min_docs`` texts hold.
 
+    With ``own_ends`` the end of each text is a way of its own to go on, so what ends two texts and occurs
+    nowhere else is a repeat; without, all ends are one way.
+
     Counted per text first and then over texts, so a repeat that most texts hold reaches the second
     sum as one row per text and is combined before it is shuffled.
     """
@@ -76,6 +79,10 @@ def corpus_repeats(
         F.count(F.lit(1)).alias("freq"), F.min("_next").alias("_low"), F.max("_next").alias("_high")
     )
     counted = per_text.groupBy("repeat").agg(
-        F.sum("freq").alias("freq"), F.count(F.lit(1)).alias("docs"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
+        F.sum("freq").alias("freq"), F.count(F.lit(1)).alias("docs"), F.min("_low").alias("_low"), F.max("_high").alias("_high"),
+        F.count_if(F.col("_low") == -1).alias("_ends"),
     )
-    return counted.filter((F.col("docs") >= min_docs) & (F.col("_low") != F.col("_high"))).select("repeat", "freq", "docs")
+    differ = F.col("_low") != F.col("_high")
+    if own_ends:
+        differ |= F.col("_ends") >= 2
+    return counted.filter((F.col("docs") >= min_docs) & differ).select("repeat", "freq", "docs")
