@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecfold.llm import language_model, mixing, packing, quality_rules, rule_ensemble, secret_scan, simhash, suffix_dedup, topk, toxicity
+from vecfold.llm import prefix_trie, url_filter, vector_codes
 from vecfold.llm.texts import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +186,23 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.fit(url_filter.rule_labelled(pages))
+    found = url_filter.judge(pages, model)
+    return found.select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
+@query()
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(vector_codes.books_digest(books))
+    return coded.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
