@@ -264,22 +264,53 @@ def needed_cells(blocks: DataFrame, meta: DataFrame, bound: Callable) -> DataFra
     return blocks.select(*shown).join(meta, "g").mapInArrow(run, schema)
 
 
+TILE_MOST = 16  # own blocks that one task holds at most
+
+
+def tiled(own: DataFrame, pairs: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows of ``stream``: each own block once and each (tile, partner) once, dealt by tile and sorted.
+
+    A partner row carries the partner's payload and the list of (own block, lower) of its tile that
+    need it; no row per pair carries a payload.
+    """
+    data = [c for c in ("payload", "state") if c in own.columns]
+    keys, seen = cut_counted(own.select("g", "block"))
+    per_tile = int(min(TILE_MOST, max(1, np.ceil(np.sqrt(seen["n"])))))
+    n_tiles = max(1, int(np.ceil(seen["n"] / per_tile)))
+    keys = keys.withColumn("tile", F.pmod(F.xxhash64("g", "block"), F.lit(n_tiles)).cast("int"))
+    tiles = F.broadcast(keys) if seen["n"] * 48 <= BROADCAST_LIMIT else keys
+    wanted = pairs.join(tiles, ["g", "block"]).groupBy("tile", "g", "other").agg(
+        F.min("lower").alias("lower"), F.collect_list(F.struct("block", "lower")).alias("targets")
+    )
+    theirs = others.select("g", F.col("block").alias("other"), *data)
+    partners = wanted.join(theirs, ["g", "other"]).select(
+        "tile", "g", F.lit(-1).cast("long").alias("block"), F.lit(1).alias("order"), "other", "lower", "targets", *data
+    )
+    targets_type = partners.schema["targets"].dataType
+    rows = own.join(tiles, ["g", "block"]).select(
+        "tile", "g", "block", F.lit(0).alias("order"), F.lit(-1).cast("long").alias("other"), F.lit(-1.0).alias("lower"),
+        F.lit(None).cast(targets_type).alias("targets"), *data,
+    ).unionByName(partners)
+    return rows.repartition(n_tiles, "tile").sortWithinPartitions("tile", "order", "lower", "other", "block")
+
+
 def stream(
     own: DataFrame, pairs: DataFrame, others: DataFrame, kernel: Callable, schema: T.StructType
 ) -> DataFrame:
-    """Runs ``kernel`` over each block of ``own`` and its partner blocks, nearest first.
+    """Runs ``kernel`` over each block of ``own`` and its partner blocks.
 
     ``pairs`` is ``(g, block, other, lower)``. ``kernel(part, g)`` is built per own block and
     has ``feed(part, lower)`` and ``finish() -> dict of arrays``.
+
+    Own blocks are dealt into tiles of about the root of their number (at most ``TILE_MOST``), one
+    task per tile. The pairs of a tile are grouped by partner before any payload moves, so a partner
+    block travels once per tile that needs it, not once per pair: with P own blocks that all meet, each
+    block is shipped about sqrt(P) times. In a tile, partners arrive ordered by the least ``lower`` of
+    the tile's blocks that need them, and each of those blocks is fed with its own ``lower``. Kernels
+    are therefore exact in any order of ``lower`` and use it only to skip work; kernels that need their
+    partners in a fixed order (cluster by cluster) give every pair the partner's number as ``lower``.
     """
-    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    data = [c for c in ("payload", "state") if c in own.columns]
-    theirs = others.select("g", F.col("block").alias("other"), *data)
-    partners = pairs.join(theirs, ["g", "other"]).select("g", "block", F.lit(1).alias("order"), "other", "lower", *data)
-    rows = own.select(
-        "g", "block", F.lit(0).alias("order"), F.lit(-1).cast("long").alias("other"), F.lit(-1.0).alias("lower"), *data
-    ).unionByName(partners)
-    rows = rows.repartition(n, "g", "block").sortWithinPartitions("g", "block", "order", "lower", "other")
+    rows = tiled(own, pairs, others)
     names = [f.name for f in schema.fields]
 
     def emit(kernel_state, g):
@@ -289,19 +320,22 @@ def stream(
         return pa.RecordBatch.from_pydict({n: cols[n] for n in names})
 
     def run(batches):
-        current, state, g = None, None, None
+        tile, held = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
+                t = batch["tile"][i].as_py()
+                if t != tile:
+                    for state, g in held.values():
+                        yield emit(state, g)
+                    tile, held = t, {}
+                g = batch["g"][i]
                 part = part_of(batch, i)
-                lower = batch["lower"][i].as_py()
                 if not batch["order"][i].as_py():
-                    if state is not None:
-                        yield emit(state, g)
-                    g = batch["g"][i]
-                    state = kernel(part)
-                else:
-                    state.feed(part, lower)
-        if state is not None:
+                    held[(g.as_py(), batch["block"][i].as_py())] = (kernel(part), g)
+                    continue
+                for target in batch["targets"][i].as_py():
+                    held[(g.as_py(), target["block"])][0].feed(part, target["lower"])
+        for state, g in held.values():
             yield emit(state, g)
 
     return rows.mapInArrow(run, schema)
