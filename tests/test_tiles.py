@@ -60,3 +60,22 @@ def test_partners_travel_once_per_tile(spark):
     assert shipped.count() <= n_blocks * int(np.ceil(n_blocks / min(N.TILE_MOST, np.ceil(np.sqrt(n_blocks))))) 
     assert shipped.count() < n_pairs / 4
     assert rows.filter("order = 0").count() == n_blocks
+
+
+def test_round_state_meets_fixed_vectors_without_exchange(spark):
+    from vecfold.operators.graph import fixed_blocks
+    from vecfold.plans.lineage import bucketed
+
+    _, frame = points(spark, n=120, groups=2)
+    index = N.build_index(frame.select("g", "id", "v"), [], block_rows=8)
+    fixed = fixed_blocks(index)
+    state = index.blocks.select("g", "block", F.lit(b"x").alias("state"))
+    joined = fixed.payload.join(bucketed(state, ["g", "block"], fixed.buckets), ["g", "block"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == index.blocks.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

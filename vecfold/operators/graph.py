@@ -6,6 +6,8 @@ choices between edges use the total order ``(w, a, b)``, so equal weights cannot
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from vecfold.operators.neighbors import (
     Index, SLACK, distances, dump, load, margin, needed_cells, pair_distances, part_of, stream,
     _partners,
 )
-from vecfold.plans.lineage import cut, cut_counted
+from vecfold.plans.lineage import bucketed, cut, cut_counted
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -253,20 +255,40 @@ def placed_vertices(index: Index, rows: DataFrame) -> tuple[DataFrame, DataFrame
     return vertices, cut(_pivot_rows(index).join(rows.select("g", "id", "core"), ["g", "id"]))
 
 
+@dataclass
+class Fixed:
+    """The packed vectors of an index, written once bucketed by ``(g, block)``."""
+
+    payload: DataFrame
+    buckets: int
+
+
+def fixed_blocks(index: Index) -> Fixed:
+    """Buckets from the number of blocks (about four blocks each), so a bucket stays a few blocks."""
+    blocks, seen = cut_counted(index.blocks.select("g", "cell", "block", "payload"))
+    buckets = int(max(1, min(4096, seen["n"] // 4)))
+    return Fixed(bucketed(blocks, ["g", "block"], buckets), buckets)
+
+
 def foreign_edges(
-    index: Index, vertices: DataFrame, pivots: DataFrame, named: DataFrame, known: DataFrame | None = None
+    index: Index, vertices: DataFrame, pivots: DataFrame, named: DataFrame, known: DataFrame | None = None,
+    fixed: Fixed | None = None,
 ) -> DataFrame:
     """``(g, id, best)``: the lightest edge of each component ``comp`` to any other.
 
     ``named`` is ``(g, id, comp)``. ``known`` are lightest edges found elsewhere; rows whose
     ``floor`` is above the component's best known weight are not searched again.
     """
-    limits = _limits(index, vertices, pivots, named, known)
+    limits = _limits(index, vertices, pivots, named, known, fixed)
     rows = vertices.join(named, ["g", "id"]).join(limits, ["g", "comp"], "left").withColumn(
         "limit", F.coalesce("limit", F.lit(float("inf")))
     )
     state = _state(rows, ["core", "floor", "comp", "limit"])
-    blocks = cut(index.blocks.select("g", "cell", "block", "payload").join(state, ["g", "block"]))
+    if fixed is None:
+        blocks = cut(index.blocks.select("g", "cell", "block", "payload").join(state, ["g", "block"]))
+    else:
+        # only the state of this round is written; it meets the vectors bucket by bucket
+        blocks = fixed.payload.join(bucketed(state, ["g", "block"], fixed.buckets), ["g", "block"])
     found = _search(blocks, index).select("g", "id", F.struct("w", "a", "b", "other").alias("best"))
     if known is not None:
         found = found.unionByName(known)
@@ -310,11 +332,12 @@ def spanning_tree(index: Index, cores: DataFrame, lists: DataFrame | None = None
 
     if done < wanted:
         vertices, pivots = placed_vertices(index, cores.join(floors, ["g", "id"]))
+        fixed = fixed_blocks(index)
     while done < wanted:
         names = roots(with_links(cores, merged)) if merged else cores.select("g", "id", F.col("id").alias("root"))
         named = names.select("g", "id", F.col("root").alias("comp"))
         known = _lightest(live) if live is not None else None
-        best = foreign_edges(index, vertices, pivots, named, known)
+        best = foreign_edges(index, vertices, pivots, named, known, fixed)
         step, n = _merge(best, comps, tree, merged)
         if not n:
             raise RuntimeError("spanning tree search found no edge for an open component")
@@ -423,11 +446,16 @@ def _comp_floors(comps: DataFrame, step: DataFrame) -> DataFrame:
     )
 
 
-def _limits(index: Index, vertices: DataFrame, pivots: DataFrame, named: DataFrame, known: DataFrame | None) -> DataFrame:
+def _limits(
+    index: Index, vertices: DataFrame, pivots: DataFrame, named: DataFrame, known: DataFrame | None, fixed: Fixed | None = None
+) -> DataFrame:
     """``(g, comp, limit)``: weight of some foreign edge, listed or to a pivot."""
     rows = vertices.join(named, ["g", "id"])
     state = _state(rows, ["core", "comp"])
-    blocks = index.blocks.select("g", "block", "payload").join(state, ["g", "block"])
+    if fixed is None:
+        blocks = index.blocks.select("g", "block", "payload").join(state, ["g", "block"])
+    else:
+        blocks = fixed.payload.select("g", "block", "payload").join(bucketed(state, ["g", "block"], fixed.buckets), ["g", "block"])
     per_g = pivots.join(named, ["g", "id"])
     schema = T.StructType([per_g.schema["g"], T.StructField("pstate", T.BinaryType())])
 

@@ -62,3 +62,15 @@ def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT)
     """Cut ``df``, count it, and hint a broadcast only if it is provably small."""
     out, seen = cut_counted(df)
     return F.broadcast(out) if seen["n"] * row_bytes <= limit else out
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Write ``df`` once as a table bucketed and sorted by ``keys`` in the shared folder; return its scan.
+
+    Two tables bucketed alike on the same keys join bucket by bucket, without an exchange, so a large
+    side written once (vectors, say) can meet a small side written each round without moving.
+    """
+    spark = df.sparkSession
+    name = f"vecfold_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
