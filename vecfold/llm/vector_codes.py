@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from vecfold.plans.lineage import cut, sized_broadcast
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-CELL = 256
+# Width of a coarse cell per component, in floored units. Small cells let the box bounds rule out most
+# entries (sf0.1: 1.3 % of entries evaluated exactly at 16, 19 % at 64, all at 256); points that share a
+# cell, such as copies, share one bound computation.
+CELL = 16
 # Beyond this size of a component, squared distances of a part may leave int64; Python integers take over.
 SAFE = 1 << 26
 
