@@ -12,7 +12,8 @@ The model: every host is padded as ``^host$`` and every path as ``^path$``; thei
 (``NGRAMS``) are hashed into ``BUCKETS`` features, host and path apart, each n-gram weighing one over the root of
 the url's number of n-grams. Weights are fitted by full-batch gradient descent with momentum on the mean log loss plus an L2 term, one
 Spark job a step: a step joins the examples' features with the weights (a broadcast of at most
-``BUCKETS + 1`` rows, bounded by construction), sums margins per url, and sums gradients per feature.
+``BUCKETS + 1`` rows, bounded by construction), sums margins per url without a shuffle (examples are
+dealt by url once), and sums gradients per feature in the one shuffle of the step.
 The labelled table is small: the query trains on at most ``MOST_LABELLED`` rows, a documented bound.
 
 Defined results: a null or empty url gets empty host and path, and is judged by the rules (none fit) and
@@ -36,7 +37,7 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 16
-STEPS, RATE, MOMENTUM, L2 = 25, 4.0, 0.8, 1e-4
+STEPS, RATE, MOMENTUM, L2 = 20, 4.0, 0.8, 1e-4
 MOST_LABELLED = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,10 +80,18 @@ def grams(text: Column, side: str) -> Column:
 
 
 def features(h: Column, p: Column) -> Column:
-    """Feature numbers of a url's n-grams, repeats included, as (f, x) with x = 1 / sqrt(number of n-grams)."""
-    every = F.concat(grams(h, "h"), grams(p, "p"))
-    weight = 1 / F.sqrt(F.size(every).cast("double"))
-    return F.transform(every, lambda f: F.struct(f.alias("f"), weight.alias("x")))
+    """Feature numbers of a url's n-grams, repeats included; each weighs 1 / sqrt(their number).
+
+    ``h`` and ``p`` should be plain columns: a lambda re-evaluates what it refers to for every element.
+    """
+    return F.concat(grams(h, "h"), grams(p, "p"))
+
+
+def exploded(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows (keep..., f, x) of the n-grams of ``host`` and ``path``, and the bias (f = -1, x = 1)."""
+    listed = df.select(*keep, features(F.col("host"), F.col("path")).alias("_fs"))
+    parts = listed.select(*keep, F.explode("_fs").alias("f"), (1 / F.sqrt(F.size("_fs").cast("double"))).alias("x"))
+    return parts.unionByName(df.select(*keep, F.lit(-1).cast("long").alias("f"), F.lit(1.0).alias("x")))
 
 
 @dataclass
@@ -94,8 +103,7 @@ class Model:
 
         The n-grams of a row are summed in the task that made them, so one row a url is shuffled for the join back.
         """
-        parts = df.select("_row", F.explode(features(F.col(h), F.col(p))).alias("e")).select("_row", "e.f", "e.x")
-        parts = parts.unionByName(df.select("_row", F.lit(-1).cast("long").alias("f"), F.lit(1.0).alias("x")))
+        parts = exploded(df, ["_row"])
         margin = parts.join(F.broadcast(self.weights.select("f", "w")), "f").groupBy("_row").agg(F.sum(F.col("w") * F.col("x")).alias("_m"))
         return df.join(margin, "_row", "left").withColumn("_p", 1 / (1 + F.exp(-F.coalesce(F.col("_m"), F.lit(0.0))))).drop("_m")
 
@@ -106,25 +114,26 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", steps: int
     rows = labelled.filter(F.col(label).isNotNull()).select(
         F.monotonically_increasing_id().alias("_row"), F.col(label).cast("double").alias("y"), F.col(url).alias("_url")
     )
-    rows = rows.select("_row", "y", features(host(F.col("_url")), path(F.col("_url"))).alias("fx"))
-    examples = rows.select("_row", "y", F.explode("fx").alias("e")).select("_row", "y", "e.f", "e.x")
-    examples = cut(examples.unionByName(rows.select("_row", "y", F.lit(-1).cast("long").alias("f"), F.lit(1.0).alias("x"))))
+    rows = cut(rows.select("_row", "y", host(F.col("_url")).alias("host"), path(F.col("_url")).alias("path")))
+    examples = cut(exploded(rows, ["_row", "y"]))
     n = max(1, examples.filter("f = -1").count())
     # Dealt by url once and kept: each step sums margins and joins errors without a shuffle. A lost block is
     # read again from the written examples.
     examples = examples.repartition(max(1, n // 20_000 + 1), "_row").cache()
     weights = spark.createDataFrame([(-1, 0.0, 0.0)], "f long, w double, v double")
     for _ in range(steps):
-        margin = examples.join(F.broadcast(weights.select("f", "w")), "f", "left").groupBy("_row", "y").agg(
-            F.sum(F.coalesce(F.col("w"), F.lit(0.0)) * F.col("x")).alias("m")
-        )
+        # every feature of the weights occurs in the examples, so a step is one aggregation by feature
+        joined = examples.join(F.broadcast(weights), "f", "left")
+        margin = joined.groupBy("_row", "y").agg(F.sum(F.coalesce(F.col("w"), F.lit(0.0)) * F.col("x")).alias("m"))
         error = margin.select("_row", (1 / (1 + F.exp(-F.col("m"))) - F.col("y")).alias("err"))
-        grad = examples.join(error, "_row").groupBy("f").agg((F.sum(F.col("err") * F.col("x")) / n).alias("g"))
-        step = grad.join(weights, "f", "full").select(
-            "f", F.coalesce("w", F.lit(0.0)).alias("w"),
-            (MOMENTUM * F.coalesce("v", F.lit(0.0)) - RATE * (F.coalesce("g", F.lit(0.0)) + L2 * F.coalesce("w", F.lit(0.0)))).alias("v"),
+        grad = joined.join(error, "_row").groupBy("f").agg(
+            (F.sum(F.col("err") * F.col("x")) / n).alias("g"),
+            F.coalesce(F.first("w", ignorenulls=True), F.lit(0.0)).alias("w"),
+            F.coalesce(F.first("v", ignorenulls=True), F.lit(0.0)).alias("v"),
         )
-        weights = cut(step.select("f", (F.col("w") + F.col("v")).alias("w"), "v"))
+        v = MOMENTUM * F.col("v") - RATE * (F.col("g") + L2 * F.col("w"))
+        # at most BUCKETS + 1 rows: one file
+        weights = cut(grad.select("f", (F.col("w") + v).alias("w"), v.alias("v")).coalesce(1))
     examples.unpersist()
     return Model(weights)
 
