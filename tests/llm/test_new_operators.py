@@ -241,3 +241,20 @@ def test_vector_codes_cells_only_skip_dominated():
 def test_vector_codes_on_no_rows(spark):
     coded, books = vector_codes.encode(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))
     assert coded.count() == 0 and books == []
+
+
+# --- packing's word cache
+
+
+def test_word_cache_keeps_two_generations(monkeypatch):
+    import public_tokenizers
+
+    from vecfold.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    ids = packing._Ids(path)
+    encode = packing.tokenizer(path).encode
+    for word in [f"word{i % 7}".encode() for i in range(40)] + ["ünïcode".encode(), b""]:
+        assert ids[word] == np.array(encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(ids.young) <= 3 and len(ids.old) <= 3

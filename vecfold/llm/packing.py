@@ -30,8 +30,8 @@ SEQUENCE = 2048
 END = 0
 # Steps of the least-squares fit.
 FIT_STEPS = 150
-# Words whose ids a task remembers.
-CACHED_WORDS = 400_000
+# Words whose ids a worker remembers, per generation; two generations are kept (about 100 MB each).
+CACHED_WORDS = 500_000
 
 
 @lru_cache
@@ -41,18 +41,27 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Ids(dict):
-    """Ids of a word as little-endian 32-bit numbers, worked out once."""
+class _Ids:
+    """Ids of a word as little-endian 32-bit numbers, worked out once.
+
+    Words are kept in two generations: when the young one is full it becomes the old one and the
+    former old one is dropped, so frequent words stay and the cache is never emptied at once.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         self.encode = tokenizer(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        ids = self.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = found = np.array(ids, "<u4").tobytes()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __getitem__(self, word: bytes) -> bytes:
+        found = self.young.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is None:
+                found = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            if len(self.young) >= CACHED_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[word] = found
         return found
 
 
