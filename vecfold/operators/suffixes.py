@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecfold.operators.graph import union_all
 from vecfold.operators.repeats import windows
@@ -21,6 +22,8 @@ from vecfold.plans.lineage import cut, cut_counted, sized_broadcast
 from vecfold.plans.ordered import prefix, ranges
 
 WIDTH = 16
+# Code points of a text whose repeats are found inside one task.
+BLOCK_CHARS = 1 << 19
 
 
 @dataclass
@@ -228,13 +231,122 @@ def _per_region(sweep):
     return run
 
 
+def _packed(codes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Per position as many code points as a number holds, in code-point order, and how many these are."""
+    symbols, codes = np.unique(codes, return_inverse=True)
+    bits = int(len(symbols)).bit_length()
+    width = 62 // bits
+    padded = np.r_[codes + 1, np.zeros(width - 1, np.int64)]
+    key = np.zeros(len(codes), np.int64)
+    for k in range(width):
+        key = key << bits | padded[k : k + len(codes)]
+    return key, width
+
+
+def _ordered(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """Positions in suffix order, the names of every doubling, and the code points the first ones stand for."""
+    n = len(codes)
+    key, width = _packed(codes)
+    order = np.argsort(key, kind="stable")
+    starts = np.r_[True, key[order][1:] != key[order][:-1]]
+    names, at = [], np.arange(n)
+    name = np.empty(n, np.int64)
+    name[order] = np.maximum.accumulate(np.where(starts, at, 0))
+    span = width
+    while True:
+        names.append(name)
+        # places in the order whose suffix still shares its name
+        shared = np.flatnonzero(~(starts & np.r_[starts[1:], True]))
+        if not len(shared):
+            return order, names, width
+        name = name.copy()
+        pos = order[shared]
+        ahead = pos + span
+        after = np.where(ahead < n, names[-1][np.minimum(ahead, n - 1)], -1)
+        own = names[-1][pos]
+        by = np.argsort(own * (n + 1) + after + 1, kind="stable")
+        pos, own, after = pos[by], own[by], after[by]
+        order[shared] = pos
+        new = np.r_[True, (own[1:] != own[:-1]) | (after[1:] != after[:-1])]
+        starts[shared] = new
+        name[pos] = np.maximum.accumulate(np.where(new, shared, 0))
+        span *= 2
+
+
+def _neighbour_prefixes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in suffix order, and the code points each shares with the one before it (-1 for the first)."""
+    n = len(codes)
+    order, names, width = _ordered(codes)
+    left, right = order[:-1], order[1:]
+    shared = np.zeros(max(n - 1, 0), np.int64)
+    for k in range(len(names) - 1, -1, -1):
+        p, q = left + shared, right + shared
+        # a name stands for that many code points or for a whole rest, which no other suffix shares
+        same = np.flatnonzero((p < n) & (q < n))
+        same = same[names[k][p[same]] == names[k][q[same]]]
+        shared[same] += width << k
+    open_ = np.arange(len(shared))
+    while len(open_):
+        p, q = left[open_] + shared[open_], right[open_] + shared[open_]
+        inside = (p < n) & (q < n)
+        open_, p, q = open_[inside], p[inside], q[inside]
+        open_ = open_[codes[p] == codes[q]]
+        shared[open_] += 1
+    return order, np.r_[-1, shared][:n]
+
+
+def _block_repeats(s: str) -> tuple[list[int], list[int], list[int]]:
+    """Position (from 1), length and count of every repeat of a text."""
+    order, lcp = _neighbour_prefixes(np.frombuffer(s.encode("utf-32-le"), "<u4").astype(np.int64))
+    first, size, freq = [], [], []
+    stack: list[tuple[int, int]] = []
+    for i, n in enumerate(lcp.tolist()):
+        start = i - 1
+        while stack and stack[-1][0] > n:
+            length, start = stack.pop()
+            first.append(start), size.append(length), freq.append(i - start)
+        if n >= 0 and (not stack or stack[-1][0] < n):
+            stack.append((n, start))
+    for length, start in stack:
+        first.append(start), size.append(length), freq.append(len(lcp) - start)
+    return (order[np.array(first, np.int64)] + 1).tolist(), size, freq
+
+
+def _repeats_in_blocks(df: DataFrame, id: str, text: str, min_len: int, min_freq: int) -> DataFrame:
+    """``(id, pos, len, freq)`` for texts of at most ``BLOCK_CHARS`` code points, text by text."""
+
+    def run(batches):
+        for batch in batches:
+            for i, value in enumerate(batch.column("_t")):
+                pos, size, freq = (np.array(c, np.int64) for c in _block_repeats(value.as_py()))
+                kept = np.flatnonzero((size >= min_len) & (freq >= min_freq))
+                ids = batch.column(id).take(pa.array(np.full(len(kept), i)))
+                columns = [ids, pa.array(pos[kept].astype(np.int32)), pa.array(size[kept]), pa.array(freq[kept])]
+                yield pa.RecordBatch.from_arrays(columns, [id, "pos", "len", "freq"])
+
+    found = [T.StructField("pos", T.IntegerType()), T.StructField("len", T.LongType()), T.StructField("freq", T.LongType())]
+    rows = df.select(id, F.col(text).alias("_t")).filter(F.col(id).isNotNull() & (F.length("_t") > 1))
+    # dealt by hash, so that a file of long texts is not one task
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, id).mapInArrow(run, T.StructType([df.schema[id], *found]))
+
+
 def all_repeats(df: DataFrame, id: str, text: str, min_len: int = 0, min_freq: int = 2) -> DataFrame:
-    """``(id, pos, len, freq)``: every repeat of each text, by one of its positions."""
-    lcps = common_prefixes(order_suffixes(df, id, text))
+    """``(id, pos, len, freq)``: every repeat of each text, by one of its positions.
+
+    Rows without an id are left out. Texts of more than ``BLOCK_CHARS`` code points are spread over the
+    cluster and need ids of their own.
+    """
+    short = _repeats_in_blocks(df.filter(F.length(text) <= BLOCK_CHARS), id, text, min_len, min_freq)
+    long = df.filter(F.length(text) > BLOCK_CHARS)
+    if not long.head(1):
+        return short
+    lcps = common_prefixes(order_suffixes(long, id, text))
     found = repeat_intervals(lcps).select("left", "len", (F.col("right") - F.col("left") + 1).alias("freq"))
     found = found.filter((F.col("len") >= min_len) & (F.col("freq") >= min_freq))
     where = lcps.select(F.col("rank").alias("left"), "id", "pos")
-    return found.join(where, "left").select(F.col("id").alias(id), "pos", "len", "freq")
+    spread = found.join(where, "left").select(F.col("id").alias(id), "pos", "len", "freq")
+    return short.unionByName(spread)
 
 
 def repeats_with_text(df: DataFrame, id: str, text: str, min_len: int = 0, min_freq: int = 2) -> DataFrame:
