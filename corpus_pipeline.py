@@ -20,7 +20,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word Jaccard 0.8 or more), the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    Documents link by fingerprint, as in ``op9_simhash``, and by five-word Jaccard of 0.8 or more.
+    """
     return near_copies.one_per_group(docs.select(*COLUMNS))
 
 

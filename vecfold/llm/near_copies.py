@@ -1,6 +1,8 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies: texts whose fingerprints ``simhash`` links, or whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more.
 
-MinHash bands only propose: texts that agree in all rows of a band share a bucket. With 24 bands of
+Fingerprints link as in ``simhash.near_duplicates``. Of the pairs of similar sets they reach few, so the
+sets are compared as well. MinHash bands only propose: texts that agree in all rows of a band share a bucket. With 24 bands of
 four rows two texts of similarity 0.8 meet in no bucket with a chance of 3 in a million, fewer above it.
 Every link is checked on the whole shingle sets.
 
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecfold.llm.simhash import shingle_hashes
+from vecfold.llm.simhash import fingerprint_groups, shingle_hashes, simhash
 from vecfold.llm.texts import whole
 from vecfold.operators.graph import components
 from vecfold.plans.lineage import cut
@@ -71,9 +73,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes.append(xxhash.xxh64_intdigest(shingles.tobytes()))
             keys.append(np.array(band_keys(shingles), np.uint64).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("tag"), pa.array(np.array(codes, np.uint64).astype(np.int64)),
-             pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "tag", "code", "keys"],
+            [batch.column("doc_id"), batch.column("tag"), batch.column("fp"),
+             pa.array(np.array(codes, np.uint64).astype(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+            ["doc_id", "tag", "fp", "code", "keys"],
         )
 
 
@@ -179,15 +181,26 @@ def _roots(vertices: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def fingerprint_links(signed: DataFrame) -> DataFrame:
+    """``(a, b)``: vertices whose texts have fingerprints of one component, each linked to its lowest vertex."""
+    prints = cut(signed.select("fp", "code").distinct())
+    groups = fingerprint_groups(prints.select("fp").distinct())
+    rooted = prints.join(groups.hint("merge"), "fp", "left").select("code", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("code").alias("a"), F.max("code").alias("_last")).filter("a != _last")
+    return rooted.join(lowest.drop("_last").hint("merge"), "root").filter("code != a").select("a", F.col("code").alias("b"))
+
+
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the one with the smallest doc_id stays.
 
     Null and wordless texts are copies of each other. Of repeated rows with that id one stays, and of a
     group without ids one.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole()).alias("tag"), whole().alias("text"))
-    signed = cut(named.mapInArrow(_sign, "doc_id long, tag long, code long, keys array<long>"))
-    links = cut(near_links(docs, signed).distinct())
+    named = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole()).alias("tag"), simhash().alias("fp"), whole().alias("text")
+    )
+    signed = cut(named.mapInArrow(_sign, "doc_id long, tag long, fp long, code long, keys array<long>"))
+    links = cut(near_links(docs, signed).unionByName(fingerprint_links(signed)).distinct())
     linked = links.select(F.col("a").alias("code")).union(links.select("b")).distinct()
     lowest = signed.groupBy("code").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tag")).alias("k"))
     rooted = lowest.join(_roots(linked, links).hint("merge"), "code", "left")
