@@ -79,32 +79,52 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     return texts.select(features("text").alias("of"), F.col("label").cast("double")).select("of.own", "of.other", "label")
 
 
+# Sets and entries that are worked on at once, so that what a step holds besides the matrix stays a few MB.
+SETS_AT_ONCE, ENTRIES_AT_ONCE = 100, 1 << 18
+
+
+def _sums(values: np.ndarray, at: np.ndarray, where: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """``values[at]`` summed over the runs that start at ``starts``, run ``i`` into place ``where[i]`` of ``size``."""
+    out, first = np.zeros(size), 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + ENTRIES_AT_ONCE, "right")) - 1)
+        end = starts[last] if last < len(starts) else len(at)
+        out[where[first:last]] = np.add.reduceat(values[at[starts[first] : end]], starts[first:last] - starts[first])
+        first = last
+    return out
+
+
 class Rows:
     """Sets of buckets as one sparse 0/1 matrix over ``columns``, summed along either side."""
 
     def __init__(self, packed: list[bytes], columns: np.ndarray):
-        sets = [np.frombuffer(p, np.uint32) for p in packed]
-        flat = np.concatenate([np.empty(0, np.uint32), *sets])
-        at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
-        known = columns[at] == flat
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known]
-        self.column, self.n, self.width = at[known].astype(np.int32), len(sets), len(columns)
+        self.n, self.width = len(packed), len(columns)
+        found, lengths = [np.empty(0, np.int32)], np.zeros(self.n, np.int64)
+        for start in range(0, self.n, SETS_AT_ONCE):
+            sets = [np.frombuffer(p, np.uint32) for p in packed[start : start + SETS_AT_ONCE]]
+            flat = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+            known = columns[at] == flat
+            found.append(at[known].astype(np.int32))
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            lengths[start : start + len(sets)] = np.bincount(row[known], minlength=len(sets))
+        self.column = np.concatenate(found)
+        self.rows, self.row_starts = _runs(lengths)
         order = np.argsort(self.column, kind="stable")
-        self.row = row[order].astype(np.int32)
-        self.rows, self.row_starts = np.unique(row, return_index=True)
-        self.columns, self.column_starts = np.unique(self.column[order], return_index=True)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), lengths)[order]
+        self.columns, self.column_starts = _runs(np.bincount(self.column, minlength=self.width))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n)
-        if len(self.rows):
-            out[self.rows] = np.add.reduceat(w[self.column], self.row_starts)
-        return out
+        return _sums(w, self.column, self.rows, self.row_starts, self.n)
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.width)
-        if len(self.columns):
-            out[self.columns] = np.add.reduceat(r[self.row], self.column_starts)
-        return out
+        return _sums(r, self.row, self.columns, self.column_starts, self.width)
+
+
+def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs are not empty, and where those start."""
+    which = np.flatnonzero(lengths)
+    return which, (np.cumsum(lengths) - lengths)[which]
 
 
 def fit_rows(own: list[bytes], other: list[bytes | None], label: np.ndarray, penalty=SWAP_PENALTY, lasso=LASSO, steps=STEPS):
@@ -114,9 +134,11 @@ def fit_rows(own: list[bytes], other: list[bytes | None], label: np.ndarray, pen
         share = min(max(share, 0.01), 0.99)
         return math.log(share / (1 - share)), {}
     mentions = [i for i, x in enumerate(other) if x is not None]
-    seen = [np.frombuffer(p, np.uint32) for p in chain(own, (other[i] for i in mentions))]
-    columns, counts = np.unique(np.concatenate(seen), return_counts=True)
-    columns, counts = columns[counts >= LEAST_ROWS], counts[counts >= LEAST_ROWS]
+    times = np.zeros(BUCKETS, np.int64)
+    for p in chain(own, (other[i] for i in mentions)):
+        times[np.frombuffer(p, np.uint32)] += 1  # a set holds a bucket once
+    columns = np.flatnonzero(times >= LEAST_ROWS).astype(np.uint32)
+    counts = times[columns]
     if not len(columns):
         return math.log(label.mean() / (1 - label.mean())), {}
     x, n = Rows(own, columns), len(own)
@@ -154,9 +176,11 @@ def fit_rows(own: list[bytes], other: list[bytes | None], label: np.ndarray, pen
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, **options) -> tuple[float, dict[int, float]]:
     """The model learned from ``labels`` (``doc_id, label``); constant if there are not two classes."""
-    rows = training_rows(docs, labels, most).toPandas()  # at most ``most`` rows of bucket numbers
-    other = [None if x is None else bytes(x) for x in rows["other"]]
-    return fit_rows([bytes(x) for x in rows["own"]], other, rows["label"].to_numpy(float), **options)
+    rows = training_rows(docs, labels, most).toArrow()  # at most ``most`` rows of bucket numbers
+    own, other = (rows[c].to_pylist() for c in ("own", "other"))
+    label = rows["label"].to_numpy().astype(float)
+    del rows
+    return fit_rows(own, other, label, **options)
 
 
 class _Weights(dict):
