@@ -6,8 +6,9 @@ stretch of that line crosses. Of a few random offsets per source, the one that c
 the target is used. Documents are taken in order of size, so the copies are spread over
 all sizes and a source misses its target by about one document.
 
-Running sums come from range-partitioned prefix sums, so a source that holds most of the rows is
-spread over many tasks. Only DataFrame functions are used.
+Running sums come from range-partitioned prefix sums over one small row per document, so a source
+that holds most of the rows is spread over many tasks. Texts move once, when they meet their sums.
+Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -71,24 +72,36 @@ def mix(
     last; a source of size 0 has target 0 and no copies. Repeated rows are taken one by one.
     """
     size = n_words() if "text" in docs.columns else F.col("size")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("source"), size.alias("size"))
-    sizes = cut(rows.select("source", "size").groupBy("source").agg(F.sum("size").alias("source_size")))
+    # rows of one place are equal, so it does not matter which of them gets which copies
+    place = ["size", "id", "hash"]
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("source").alias("source"), size.alias("size"), F.col("doc_id").alias("id"),
+        F.xxhash64(*docs.columns).alias("hash"),
+    )
+    # sums, ranges and offsets are worked out without the rows; those move once, to their place
+    places = cut(rows.groupBy("source", *place).agg(F.count(F.lit(1)).alias("n")))
+    sizes = cut(places.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
     aims = targets(sizes, weights, most)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aims = cut(aims.withColumn("e", F.floor(share * PARTS + 0.5).cast("long")))
-    joined = rows.join(aims.withColumnRenamed("source", "of"), rows["source"].eqNullSafe(F.col("of")))
-    ordered = ranges(joined.select("row", "id", "size", "s", "source_size", "target", "e"), ["s", "size", "id"])
-    summed = prefix(ordered, ["size", "id"], ["s"], upto=("sum", "e"))
+    joined = places.join(aims.withColumnRenamed("source", "of"), places["source"].eqNullSafe(F.col("of")))
+    joined = joined.select("s", *place, "n", "source", "source_size", "target", "e", (F.col("n") * F.col("e")).alias("line"))
+    summed = prefix(ranges(joined, ["s", *place]), place, ["s"], upto=("sum", "line"))
     start = (F.col("s") + 1) * OFFSET_STEP + seed
     offset = lambda k: (start + k * OFFSET_TRY) % PARTS
-    crossed = lambda at: F.shiftright(F.col("upto") + at, PART_BITS) - F.shiftright(F.col("upto") - F.col("e") + at, PART_BITS)
-    slim = prefix(ordered.drop("row"), ["size", "id"], ["s"], upto=("sum", "e"))
-    totals = slim.groupBy("s").agg(
-        F.array(*[F.struct(F.abs(F.sum(crossed(offset(k)) * F.col("size")) - F.first("target")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]).alias("tried")
+    crossed = lambda upto, line, at: F.shiftright(upto + at, PART_BITS) - F.shiftright(upto - line + at, PART_BITS)
+    taken = lambda k: crossed(F.col("upto"), F.col("line"), offset(k)) * F.col("size")
+    totals = summed.groupBy("s").agg(
+        F.array(*[F.struct(F.abs(F.sum(taken(k)) - F.first("target")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]).alias("tried")
     )
     best = cut(totals.select(F.col("s").alias("of"), F.array_min("tried")["k"].alias("k")))
-    found = summed.join(best, F.col("s") == F.col("of"))
-    return found.select("row", "size", "source_size", "target", crossed(offset(F.col("k"))).alias("copies"))
+    lines = summed.join(best, F.col("s") == F.col("of")).select(
+        F.struct("source", *place).alias("key"), "source_size", "target", "n", "e", F.col("upto").alias("end"), offset(F.col("k")).alias("at")
+    )
+    found = rows.select("row", "size", F.struct("source", *place).alias("key")).join(lines.hint("merge"), "key")
+    number = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    upto = F.col("end") - (F.col("n") - number) * F.col("e")
+    return found.select("row", "size", "source_size", "target", crossed(upto, F.col("e"), F.col("at")).alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
