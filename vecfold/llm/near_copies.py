@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecfold.llm.simhash import fingerprint_groups, shingle_hashes, simhash
+from vecfold.llm.simhash import fingerprint, fingerprint_groups, shingle_hashes
 from vecfold.llm.texts import whole
 from vecfold.operators.graph import components
 from vecfold.plans.lineage import cut
@@ -66,14 +66,17 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # fingerprints and sets in one pass: a second function in the stage would be a second worker per core that stays
     for batch in batches:
-        codes, keys = [], []
-        for text in batch.column("text"):
-            shingles = shingle_set(text.as_py())
+        prints, codes, keys = [], [], []
+        for value in batch.column("text"):
+            text = value.as_py()
+            shingles = shingle_set(text)
+            prints.append(fingerprint(text))
             codes.append(xxhash.xxh64_intdigest(shingles.tobytes()))
             keys.append(np.array(band_keys(shingles), np.uint64).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("tag"), batch.column("fp"),
+            [batch.column("doc_id"), batch.column("tag"), pa.array(np.array(prints, np.uint64).astype(np.int64)),
              pa.array(np.array(codes, np.uint64).astype(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
             ["doc_id", "tag", "fp", "code", "keys"],
         )
@@ -196,9 +199,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     Null and wordless texts are copies of each other. Of repeated rows with that id one stays, and of a
     group without ids one.
     """
-    named = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole()).alias("tag"), simhash().alias("fp"), whole().alias("text")
-    )
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole()).alias("tag"), whole().alias("text"))
     signed = cut(named.mapInArrow(_sign, "doc_id long, tag long, fp long, code long, keys array<long>"))
     links = cut(near_links(docs, signed).unionByName(fingerprint_links(signed)).distinct())
     linked = links.select(F.col("a").alias("code")).union(links.select("b")).distinct()
