@@ -43,25 +43,40 @@ def _open(path: str):
     return store.open_input_stream(inner)
 
 
-def read_content(keys: DataFrame) -> DataFrame:
+def read_content(keys: DataFrame, piece: int | None = None) -> DataFrame:
     """``(filename, content)`` for the listed ``(filename, path)`` rows.
 
     Runs after key filtering: each task opens the files of its own rows only, so bytes of files
     that are already stored are never read. A file that vanished meanwhile or may not be read is skipped.
+
+    With ``piece``, files come as ``(filename, part, content)`` in parts of at most so many bytes, numbered from 0
+    (an empty file is one empty part): a task holds one part, however long the file is.
     """
+    schema = "filename string, content binary" if piece is None else "filename string, part long, content binary"
 
     def load(batches):
         import pyarrow as pa
 
+        def row(name, part, data):
+            cols = {"filename": pa.array([name], pa.string()), "part": pa.array([part], pa.int64()), "content": pa.array([data], pa.binary())}
+            if piece is None:
+                del cols["part"]
+            return pa.RecordBatch.from_pydict(cols)
+
         for batch in batches:
             for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    with _open(path) as stream:
-                        data = stream.read()
+                    stream = _open(path)
                 except (FileNotFoundError, PermissionError):
                     continue
-                yield pa.RecordBatch.from_pydict(
-                    {"filename": pa.array([name]), "content": pa.array([data], pa.binary())}
-                )
+                with stream:
+                    try:
+                        data, part = stream.read(piece), 0
+                    except (FileNotFoundError, PermissionError):
+                        continue
+                    yield row(name, part, data)
+                    while piece is not None and (data := stream.read(piece)):
+                        part += 1
+                        yield row(name, part, data)
 
-    return keys.select("filename", "path").mapInArrow(load, "filename string, content binary")
+    return keys.select("filename", "path").mapInArrow(load, schema)
